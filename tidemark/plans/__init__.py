@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PLANS = ["orders"]
+_PLANS = ["orders", "quality"]
 
 
 def load_all() -> None:

@@ -235,6 +235,27 @@ SELECT event_id, ts, CASE WHEN value > 60 THEN NULL ELSE user_id END AS user_id,
 FROM {events}
 """
 
+# Device signals with out-of-range and malformed values among the good ones.
+VIEWS["signals"] = """
+SELECT event_id, ts AS seen_at, CASE WHEN value > 80 THEN TIMESTAMP '1999-05-01 00:00:00' ELSE ts END AS made_at,
+       CASE WHEN value > 50 THEN 'n/a' ELSE '10.0.' || CAST(user_id AS STRING) || '.7' END AS ip_address,
+       CASE WHEN value > 40 THEN 'aa-bb' ELSE 'aa:bb:cc:0d:1e:' || substr('0123456789abcdef', 1 + CAST(user_id % 15 AS INT), 2)
+            END AS mac_address,
+       CASE WHEN event_type = 'error' AND value > 20 THEN 'nobody' ELSE 'u' || CAST(user_id AS STRING) || '@example.com'
+            END AS email,
+       CASE WHEN event_type = 'view' AND value < 1 THEN '  ' ELSE event_type END AS note,
+       90 - value AS latitude, 180 - value * 2 AS longitude, CAST(floor(value * 1000) AS INT) AS port,
+       CAST(floor(value) AS INT) - 1 AS age, value AS completion_pct, value - 1 AS amount,
+       CASE WHEN value > 60 THEN NULL ELSE user_id END AS owner_id
+FROM {events}
+"""
+
+# Which table feeds which, for root-cause walks over scored tables.
+VIEWS["score_edges"] = """
+SELECT DISTINCT 'table_' || CAST(user_id AS STRING) AS from_fqn,
+       'table_' || CAST(CAST(floor(value) AS BIGINT) AS STRING) AS to_fqn FROM {events}
+"""
+
 # Registry rows: Avro text per subject and version; some texts are broken.
 VIEWS["registry"] = """
 SELECT lower(c_mktsegment) || '-events-' || CAST(c_custkey AS STRING) || '-value' AS subject,
