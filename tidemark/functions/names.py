@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions.scalar import col_of
 
@@ -63,7 +64,7 @@ def edit_similarity(a, b) -> Column:
     return F.coalesce(F.lit(1.0) - F.try_divide(F.levenshtein(a, b), longest), F.lit(1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's matching-block ratio, for exact parity with Python's close match."""
     return pd.Series(
