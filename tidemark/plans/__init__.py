@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PLANS = ["orders", "quality", "catalog", "governance", "vectors", "health", "kpi"]
+_PLANS = ["orders", "quality", "catalog", "governance", "vectors", "health", "kpi", "sources", "streams"]
 
 
 def load_all() -> None:
