@@ -27,9 +27,9 @@ def money(x) -> Column:
     return col_of(x).cast(MONEY)
 
 
-def exact_sum(x) -> Column:
+def exact_sum(x, kind: str = MONEY) -> Column:
     """Sum in DECIMAL: independent of partitioning and row order."""
-    return F.sum(money(x))
+    return F.sum(col_of(x).cast(kind))
 
 
 def exact_avg(x) -> Column:

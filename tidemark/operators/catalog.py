@@ -189,12 +189,13 @@ def best_match(name, patterns: list[str], sim=edit_similarity) -> Column:
 
 
 def collect_fields(fields: DataFrame) -> DataFrame:
-    """Field names and 'name type' texts per asset, in field order."""
+    """Field names and 'name type' texts per asset, in field order. Repeated rows of a
+    field collapse in every task; what is gathered is one schema."""
     entry = F.struct("ordinal", "name", "type")
     return (
         fields.where(F.col("name") != "")
         .groupBy("asset_id")
-        .agg(F.array_sort(F.collect_list(entry)).alias("_f"))
+        .agg(F.array_sort(F.collect_set(entry)).alias("_f"))
         .select(
             "asset_id",
             F.size("_f").alias("n_fields"),

@@ -47,6 +47,8 @@ def lineage(edges: DataFrame, root: str, up: int = 3, down: int = 3) -> DataFram
     costs one hop; visited nodes are anti-joined, so cycles end.
     """
     start = edges.sparkSession.createDataFrame([(root, 0)], "node string, depth int")
+    # both walks read the edge list at every hop: narrow and settle it once
+    edges = cut_lineage(edges.select("from_fqn", "to_fqn").distinct())
     seen = _walk(edges, start, start, up, upstream=True)
     return _walk(edges, start, seen, down, upstream=False)
 

@@ -80,6 +80,33 @@ def first_last(df: DataFrame, key: list[str], ts: list[str], value: str, digits:
     )
 
 
+def with_rank_bounds(counts: DataFrame, by: list[str], value: str, n: str, q: float) -> DataFrame:
+    """Marks, per group of (value, count) rows, the two rows an exact percentile lies
+    between. Null values carry a count of 0 and are never marked."""
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.lit(q) * (F.sum(n).over(whole) - 1)
+    seen = F.sum(n).over(upto)
+    before = seen - F.col(n)
+
+    def holds(rank: Column) -> Column:
+        return (before <= rank) & (rank < seen)
+
+    return counts.withColumns(
+        {
+            "_low": F.when(holds(F.floor(place)), F.col(value)),
+            "_high": F.when(holds(F.ceil(place)), F.col(value)),
+            "_part": place - F.floor(place),
+        }
+    )
+
+
+def interpolated(value: str) -> Column:
+    """The percentile of a group marked by :func:`with_rank_bounds`."""
+    low, high = F.max("_low"), F.max("_high")
+    return low + (high - low) * F.max("_part")
+
+
 def recent(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
     """Rows of the last ``days`` days, the bound being a literal the scan can use."""
     now = as_ts(as_of)

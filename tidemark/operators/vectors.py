@@ -145,16 +145,22 @@ def _trim(found: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def _grid(queries: DataFrame, corpus: DataFrame, k: int, q_block: int = SENT_ROWS, c_block: int = 65_536) -> DataFrame:
     """Block pairs as bounded groups: queries are copied to every corpus block and the
-    corpus to every query block; block numbers come from a hash, so no id is hot."""
+    corpus to every query block. Block numbers hash the whole row and copies are
+    dropped first, so no block outgrows its share; its size follows the vector width."""
+    # a repeated row changes no result, but all its copies would hash to one block
+    queries = queries.dropDuplicates(["query_id", "vec"])
+    corpus = corpus.select("item_id", "owner_id", "vec").dropDuplicates()
+    width = max(1, len(queries.select("vec").first()["vec"] or ()))
+    c_block = max(1, min(c_block, SENT_VALUES // width))
     n_q = max(1, math.ceil(queries.count() / q_block))
     n_c = max(1, math.ceil(corpus.count() / c_block))
     every_c = F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))
     every_q = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
     q = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), every_c.alias("cb"), "query_id", "vec"
+        F.pmod(F.xxhash64("query_id", "vec"), F.lit(n_q)).cast("int").alias("qb"), every_c.alias("cb"), "query_id", "vec"
     )
     c = corpus.select(
-        every_q.alias("qb"), F.pmod(F.xxhash64("item_id"), F.lit(n_c)).cast("int").alias("cb"),
+        every_q.alias("qb"), F.pmod(F.xxhash64("item_id", "owner_id", "vec"), F.lit(n_c)).cast("int").alias("cb"),
         "item_id", "owner_id", "vec",
     )
 

@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @query("threshold_monitor", METRICS + """
 SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, max(consumer_lag) AS max_lag,
-  quantile_cont(write_ms, 0.75) AS p75_write_ms,
+  floor(quantile_cont(write_ms, 0.75) * 1000000 + 0.5) / 1000000 AS p75_write_ms,
   CAST(sum(CAST(error_rate AS DECIMAL(20,6))) AS DOUBLE) / count(*) AS error_rate,
   CASE WHEN max(consumer_lag) > 10000 THEN 'WARNING' ELSE 'OK' END AS lag_status,
   CASE WHEN quantile_cont(write_ms, 0.75) > 500 THEN 'WARNING' ELSE 'OK' END AS write_status,

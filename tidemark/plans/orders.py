@@ -138,11 +138,11 @@ def _(spark, sf):
 
 
 @query("simple_case_tax", ENRICHED + """
-SELECT region, count(*) AS n, CAST(sum(CAST(tax_amount AS DECIMAL(20,6))) AS DOUBLE) AS tax
+SELECT region, count(*) AS n, CAST(sum(CAST(tax_amount AS DECIMAL(24,9))) AS DOUBLE) AS tax
 FROM enriched GROUP BY ALL""")
 def _(spark, sf):
     return enriched(spark, sf).groupBy("region").agg(
-        F.count(F.lit(1)).alias("n"), S.exact_sum("tax_amount").cast("double").alias("tax")
+        F.count(F.lit(1)).alias("n"), S.exact_sum("tax_amount", "decimal(24,9)").cast("double").alias("tax")
     )
 
 

@@ -185,6 +185,11 @@ def _(spark, sf):
     return order_card(spark, sf)
 
 
+@query("scorecard_sketch")
+def _(spark, sf):
+    return order_card(spark, sf, exact=False)
+
+
 _SIGNAL_RULES = [
     ("email", "email_validation", r"NOT regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$')", 1, 5),
     ("ip_address", "ipv4_validation", r"NOT regexp_matches(ip_address, '^([0-9]{1,3}\.){3}[0-9]{1,3}$')", 1, 5),

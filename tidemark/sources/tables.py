@@ -20,18 +20,21 @@ def scan_table(spark: SparkSession, name: str, cols: list[str] | None = None, sc
     return df.select(*cols) if cols else df
 
 
-def write_partitioned(df: DataFrame, path: str, by: dict[str, Column] | list[str], mode: str = "overwrite") -> None:
+def write_partitioned(
+    df: DataFrame, path: str, by: dict[str, Column] | list[str], mode: str = "overwrite", rebalance: bool = True
+) -> None:
     """Snappy Parquet partitioned by columns or derived columns, e.g. ``{'day': to_date('ts')}``.
 
     Rows are rebalanced on the partition columns: small partitions become one file
     each, while a hot partition (one day with a third of the rows) is split over
-    several tasks by AQE and not sent to one.
+    several tasks by AQE and not sent to one. Input already clustered by the
+    partition columns needs no shuffle: pass ``rebalance=False``.
     """
     made = by if isinstance(by, dict) else {}
     names = list(by)
     out = df.withColumns(made) if made else df
     known = [n for n in names if n in out.columns]  # an absent identity column does not partition
-    writer = (out.hint("rebalance", *known) if known else out).write.mode(mode).option("compression", "snappy")
+    writer = (out.hint("rebalance", *known) if known and rebalance else out).write.mode(mode).option("compression", "snappy")
     (writer.partitionBy(*known) if known else writer).parquet(path)
 
 
@@ -88,7 +91,11 @@ def write_sink(df: DataFrame, sink: dict) -> None:
         df = project_to_schema(df, sink["schema"])
     mode = sink.get("mode", "append")
     if kind == "table":
-        df.write.mode(mode).saveAsTable(sink["name"])
+        writer = df.write.mode(mode)
+        if sink.get("bucket"):  # (number, columns): tables bucketed alike join without a shuffle
+            number, cols = sink["bucket"]
+            writer = writer.bucketBy(number, *cols).sortBy(*cols)
+        writer.saveAsTable(sink["name"])
     elif kind == "directory":
         write_partitioned(df, sink["path"], sink.get("by", []), mode)
     else:
