@@ -82,6 +82,12 @@ for _kind, _src, _spec, _pred, _w, _f in _SINGLE_CHECKS:
         _single(_kind, _src, _spec)
     )
 
+@query("check_catalog", with_views(*dict.fromkeys(s for _, s, *_ in _SINGLE_CHECKS)) + "\nUNION ALL\n".join(
+    check_rows(src, [(kind, spec["col"], pred, w, f)]) for kind, src, spec, pred, w, f in _SINGLE_CHECKS))
+def _(spark, sf):
+    return H.union_assets(*[_single(kind, src, spec)(spark, sf) for kind, src, spec, *_ in _SINGLE_CHECKS])
+
+
 _MANY = [
     {"type": "not_null", "col": "customer_id"},
     {"type": "non_negative", "col": "unit_price"},
@@ -231,6 +237,8 @@ def _rule(rules):
 for _r in _SIGNAL_RULES:
     query(f"rule_{_r[1]}", with_views("signals") + violation_rows([_r]))(_rule([(_r[0], _r[1])]))
 
+query("rule_templates", with_views("signals") + violation_rows(_SIGNAL_RULES))(_rule([(c, r) for c, r, *_ in _SIGNAL_RULES]))
+
 query(
     "rule_violations",
     with_views("signals") + violation_rows(_SIGNAL_RULES)
@@ -579,6 +587,15 @@ def _(spark, sf):
     )
 
 
+@query("safe_literal", """
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'it''s; -- a view' ELSE event_type END AS label FROM events
+WHERE event_type IN ('view', 'click')""")
+def _(spark, sf):
+    label = F.when(F.col("event_type") == S.safe_literal("view"), S.safe_literal("it's; -- a view")).otherwise(F.col("event_type"))
+    wanted = F.col("event_type").isin("view", "click")
+    return view(spark, sf, "events").where(wanted).select("event_id", label.alias("label"))
+
+
 @query("trim_blank", with_views("signals") + "SELECT event_id, trim(note) = '' AS blank FROM signals")
 def _(spark, sf):
     return view(spark, sf, "signals").select("event_id", C.trim_blank("note").alias("blank"))

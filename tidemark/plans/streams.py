@@ -91,6 +91,20 @@ def _(spark, sf):
     return landed(spark, good.withColumn("payload", F.col("payload").cast("string")), "framed")
 
 
+@query("stream_kafka_avro", """
+SELECT user_id, event_type, value, CAST(event_id % 4 AS INT) AS kafka_partition, event_id AS kafka_offset, ts AS event_time FROM events""")
+def _(spark, sf):
+    # the topic's message columns from a file stream; JSON stands in for the Avro payload,
+    # whose connector is not part of the test image
+    body = F.to_json(F.struct("user_id", "event_type", "value"))
+    raw = stream(spark, sf, "events").select(
+        A.frame(F.lit(7), body).alias("value"), (F.col("event_id") % 4).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"),
+    )
+    records = J.decode_topic(raw, lambda payload: F.from_json(payload.cast("string"), MESSAGE_SCHEMA))
+    return landed(spark, records, "decoded")
+
+
 @query("stream_dead_letters", with_views("dirty_events") + DEAD_SQL)
 def _(spark, sf):
     body = F.to_json(F.struct("user_id", "event_type", "value"))

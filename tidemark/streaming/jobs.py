@@ -25,21 +25,31 @@ def stream_kafka_avro(
     """
     from pyspark.sql.avro.functions import from_avro
 
-    raw = (
+    raw = kafka_stream(spark, servers, topic, start)
+    return decode_topic(raw, lambda payload: from_avro(payload, avro_schema), delay)
+
+
+def kafka_stream(spark: SparkSession, servers: str, topic: str, start: str = "earliest") -> DataFrame:
+    """Raw committed messages of a topic."""
+    return (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", start)
         .option("kafka.isolation.level", "read_committed")
         .load()
-        .select("value", "partition", "offset", F.col("timestamp").alias("event_time"))
     )
-    good, _ = split_frames(raw, "value")
-    return (
-        good.withColumn("r", from_avro("payload", avro_schema))
-        .select("r.*", F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), "event_time")
-        .withWatermark("event_time", delay)
+
+
+def decode_topic(raw: DataFrame, decode, delay: str | None = "10 seconds") -> DataFrame:
+    """(value, partition, offset, timestamp) messages to records with their position
+    and event time. ``decode`` turns the unframed payload into a struct; badly framed
+    messages are left to the dead-letter path."""
+    good, _ = split_frames(raw.select("value", "partition", "offset", F.col("timestamp").alias("event_time")), "value")
+    records = good.withColumn("r", decode(F.col("payload"))).select(
+        "r.*", F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), "event_time"
     )
+    return records.withWatermark("event_time", delay) if delay else records
 
 
 def stream_files(spark: SparkSession, path: str, schema) -> DataFrame:
