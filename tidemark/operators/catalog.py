@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import edit_similarity, last_part, squash, storage_kind, tokens
 from tidemark.functions.scalar import col_of, half_up
 from tidemark.operators.shaping import topk
+from tidemark.session import cut_lineage
 
 # Word parts that prove a family of data is present.
 FIELD_FAMILIES = {
@@ -319,8 +320,9 @@ def similar_signatures(sets: DataFrame, left_type: str, right_type: str, thresho
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    sigs = sets.where(F.size("names") > 0).select("asset_type", "names").distinct()
-    rows = sigs.where(F.col("asset_type").isin(left_type, right_type)).withColumn("name", F.explode("names"))
+    of_kind = F.col("asset_type").isin(left_type, right_type)
+    sigs = cut_lineage(sets.where((F.size("names") > 0) & of_kind).select("asset_type", "names").distinct())
+    rows = sigs.withColumn("name", F.explode("names"))
     df = rows.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     n = F.size("names")
     keep = n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1
@@ -356,7 +358,7 @@ def related(fields: DataFrame, left_type: str, right_type: str, threshold: float
     Ranking happens between signatures; of each signature only its first k assets
     by name can appear in a top k, so only those are joined back.
     """
-    sets = field_sets(fields)
+    sets = cut_lineage(field_sets(fields))
     pairs = similar_signatures(sets, left_type, right_type, threshold)
     right = sets.where(F.col("asset_type") == right_type).select(
         F.col("names").alias("right_names"), F.col("asset_id").alias("match_id"), F.col("asset_name").alias("match_name")

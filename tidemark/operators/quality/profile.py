@@ -73,7 +73,9 @@ def type_profile(df: DataFrame, as_of, exact: bool = False) -> DataFrame:
         counts = distinct_count(df, df.columns[0], True)
         for c in df.columns[1:]:
             counts = counts.unionByName(distinct_count(df, c, True))
-        out = out.join(counts, "column", "left").withColumn("n_distinct", F.col("ndv")).drop("ndv")
+        # each column has one row on either side, so the maximum puts them together
+        both = out.drop("n_distinct").unionByName(counts.withColumnRenamed("ndv", "n_distinct"), allowMissingColumns=True)
+        out = both.groupBy("column").agg(*[F.max(n).alias(n) for n, _ in PROFILE_FIELDS if n != "column"])
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import half_up, pct_label, three_level
-from tidemark.operators.quality.checks import COLUMNS_PER_PASS, distinct_count, distinct_status, sketch_distinct
+from tidemark.operators.quality.checks import COLUMNS_PER_PASS, distinct_status, sketch_distinct
 from tidemark.operators.quality.rules import RULE_LIMITS, RULES, schema_rules
 
 WARN_NULL, FAIL_NULL = 0.05, 0.20
@@ -39,27 +39,25 @@ def measure(df: DataFrame, table: str, as_of, ids: list[str], rules: list[tuple[
         for i, c in enumerate(cols):
             aggs.append(F.count(c).alias(f"nn_{i}"))
             row("completeness", c, "", F.col(f"nn_{i}"), F.col("total") - F.col(f"nn_{i}"))
-            if c in ids:
-                if exact:
-                    row("uniqueness", c, "", F.col(f"nn_{i}"), F.lit(None))
-                else:
-                    aggs.append(sketch_distinct(c).alias(f"ndv_{i}"))
-                    row("uniqueness", c, "", F.col(f"nn_{i}"), F.col(f"ndv_{i}"))
+            if c in ids and not exact:
+                aggs.append(sketch_distinct(c).alias(f"ndv_{i}"))
+                row("uniqueness", c, "", F.col(f"nn_{i}"), F.col(f"ndv_{i}"))
             for j, rule in enumerate(r for col, r in rules if col == c):
                 aggs.append(F.count_if(RULES[rule](F.col(c), as_of)).alias(f"v_{i}_{j}"))
                 row("validity", c, rule, F.col(f"nn_{i}"), F.col(f"v_{i}_{j}"))
         parts.append(df.agg(*aggs).select(F.lit(table).alias("asset"), F.inline(F.array(*rows))))
+    if exact:
+        # one single-column aggregate each: several exact distincts in one would copy every row per column
+        for c in [c for c in ids if c in df.columns]:
+            parts.append(
+                df.agg(F.count(F.lit(1)).alias("total"), F.count(c).alias("non_null"), F.count_distinct(c).alias("hits")).select(
+                    F.lit(table).alias("asset"), F.lit("uniqueness").alias("check"), F.lit(c).alias("column"),
+                    F.lit("").alias("rule"), "total", "non_null", "hits",
+                )
+            )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    wanted = [c for c in ids if c in df.columns]
-    if exact and wanted:
-        counts = distinct_count(df, wanted[0], True)
-        for c in wanted[1:]:
-            counts = counts.unionByName(distinct_count(df, c, True))
-        out = out.join(counts, "column", "left").withColumn(
-            "hits", F.when(F.col("check") == "uniqueness", F.col("ndv")).otherwise(F.col("hits"))
-        ).drop("ndv")
     return out
 
 
