@@ -320,15 +320,28 @@ def similar_signatures(sets: DataFrame, left_type: str, right_type: str, thresho
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    return _similar(_signatures(sets, left_type, right_type), left_type, right_type, threshold).select(
+        "left_names", "right_names", "score"
+    )
+
+
+def _signatures(sets: DataFrame, left_type: str, right_type: str) -> DataFrame:
+    """Distinct non-empty field sets of both kinds with a number, stored once, so the
+    numbers are the same for every reader."""
     of_kind = F.col("asset_type").isin(left_type, right_type)
-    sigs = cut_lineage(sets.where((F.size("names") > 0) & of_kind).select("asset_type", "names").distinct())
+    distinct = sets.where((F.size("names") > 0) & of_kind).select("asset_type", "names").distinct()
+    return cut_lineage(distinct.withColumn("sig", F.monotonically_increasing_id()))
+
+
+def _similar(sigs: DataFrame, left_type: str, right_type: str, threshold: float) -> DataFrame:
+    """The pairs of :func:`similar_signatures` with their signature numbers."""
     rows = sigs.withColumn("name", F.explode("names"))
     df = rows.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     n = F.size("names")
     keep = n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1
     prefix = (
         rows.join(df, "name")
-        .groupBy("asset_type", "names")
+        .groupBy("asset_type", "sig", "names")
         .agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("_o"))
         .withColumn("prefix", F.transform(F.slice("_o", F.lit(1), keep.cast("int")), lambda s: s["name"]))
         .drop("_o")
@@ -337,7 +350,7 @@ def similar_signatures(sets: DataFrame, left_type: str, right_type: str, thresho
 
     def side(kind: str, p: str) -> DataFrame:
         return exploded.where(F.col("asset_type") == kind).select(
-            "name", F.col("names").alias(f"{p}_names"), F.col("prefix").alias(f"{p}_prefix")
+            "name", F.col("sig").alias(f"{p}_sig"), F.col("names").alias(f"{p}_names"), F.col("prefix").alias(f"{p}_prefix")
         )
 
     a, b = F.size("left_names"), F.size("right_names")
@@ -348,7 +361,7 @@ def similar_signatures(sets: DataFrame, left_type: str, right_type: str, thresho
         .where(F.array_min(F.array_intersect("left_prefix", "right_prefix")) == F.col("name"))
         .withColumn("score", match_score("left_names", "right_names"))
         .where(F.col("score") >= threshold)
-        .select("left_names", "right_names", "score")
+        .select("left_sig", "right_sig", "left_names", "right_names", "score")
     )
 
 
@@ -359,19 +372,25 @@ def related(fields: DataFrame, left_type: str, right_type: str, threshold: float
     by name can appear in a top k, so only those are joined back.
     """
     sets = cut_lineage(field_sets(fields))
-    pairs = similar_signatures(sets, left_type, right_type, threshold)
-    right = sets.where(F.col("asset_type") == right_type).select(
-        F.col("names").alias("right_names"), F.col("asset_id").alias("match_id"), F.col("asset_name").alias("match_name")
+    sigs = _signatures(sets, left_type, right_type)
+    signed = sets.join(sigs, ["asset_type", "names"])
+    right = signed.where(F.col("asset_type") == right_type).select(
+        F.col("sig").alias("right_sig"), F.col("asset_id").alias("match_id"), F.col("asset_name").alias("match_name")
     )
-    first_k = topk(right, ["right_names"], [F.col("match_name"), F.col("match_id")], k)
+    first_k = topk(right, ["right_sig"], [F.col("match_name"), F.col("match_id")], k)
+    # pairs move as two numbers and a score; the names come back with the winners
+    pairs = _similar(sigs, left_type, right_type, threshold).select("left_sig", "right_sig", "score")
     best = topk(
-        pairs.join(first_k, "right_names"),
-        ["left_names"],
+        pairs.join(first_k, "right_sig"),
+        ["left_sig"],
         [F.col("score").desc(), F.col("match_name"), F.col("match_id")],
         k,
     )
-    left = sets.where(F.col("asset_type") == left_type).select("asset_id", F.col("names").alias("left_names"))
-    return left.join(best, "left_names").select(
+    right_names = sigs.select(F.col("sig").alias("right_sig"), F.col("names").alias("right_names"))
+    left = signed.where(F.col("asset_type") == left_type).select(
+        "asset_id", F.col("sig").alias("left_sig"), F.col("names").alias("left_names")
+    )
+    return left.join(best.join(right_names, "right_sig"), "left_sig").select(
         "asset_id", "match_id", half_up("score", 6).alias("score"),
         F.concat_ws(",", F.array_sort(F.array_intersect("left_names", "right_names"))).alias("matched"),
     )

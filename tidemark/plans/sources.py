@@ -76,10 +76,11 @@ WHERE coalesce(value, 0) <= 55 AND user_id IS NOT NULL AND event_type IS NOT NUL
 
 @query("dead_letter_split", with_views("dirty_events") + DEAD_SQL)
 def _(spark, sf):
-    good, dead = S.split_bad(messages(spark, sf), "body", MESSAGE_SCHEMA, ["user_id", "event_type"])
-    return dead.select("event_id", F.lit("dead").alias("sink"), "reason").unionByName(
-        good.select("event_id", F.lit("good").alias("sink"), F.lit(None).cast("string").alias("reason"))
-    )
+    judged = S.judge_json(messages(spark, sf), "body", MESSAGE_SCHEMA, ["user_id", "event_type"])
+    path = scratch_path(spark, "messages")
+    sink = F.when(F.col("reason").isNull(), "good").otherwise("dead")
+    S.write_partitioned(judged.select("event_id", "_p.*", "reason"), path, {"sink": sink}, rebalance=False)
+    return spark.read.parquet(path).select("event_id", "sink", "reason")
 
 
 @query("append_check_results", ORDER_CARD + """

@@ -121,15 +121,19 @@ def convert_format(spark: SparkSession, src: str, fmt: str, dst: str, schema=Non
     reader.load(src).write.mode("overwrite").option("compression", "snappy").parquet(dst)
 
 
-def split_bad(df: DataFrame, body: str, schema: T.StructType, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Parse JSON text: (good rows with the parsed columns, dead letters with a reason).
+def judge_json(df: DataFrame, body: str, schema: T.StructType, required: list[str] | None = None) -> DataFrame:
+    """Adds the parsed struct ``_p`` and the ``reason`` a row is dead, null for good rows.
 
-    A row is dead if the text does not parse or a required field is missing. Both
-    are plain filters over one projection, so the job does not stop on bad input.
+    A row is dead if the text does not parse or a required field is missing; the job
+    does not stop on bad input. The struct goes through a one-element generator:
+    filters on it are then not pushed below, where they would parse the text again.
     """
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    parsed = df.withColumn(
-        "_p", F.from_json(F.col(body), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = df.select(
+        "*",
+        F.explode(
+            F.array(F.from_json(F.col(body), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+        ).alias("_p"),
     )
     missing = F.array_compact(
         F.array(F.lit(None).cast("string"), *[F.when(F.col(f"_p.{c}").isNull(), F.lit(c)) for c in (required or [])])
@@ -138,7 +142,16 @@ def split_bad(df: DataFrame, body: str, schema: T.StructType, required: list[str
         F.when(F.col("_p").isNull() | F.col("_p._bad").isNotNull(), "unparsable")
         .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.concat_ws(",", missing)))
     )
-    judged = parsed.withColumn("reason", reason)
+    return parsed.withColumn("reason", reason)
+
+
+def split_bad(df: DataFrame, body: str, schema: T.StructType, required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """JSON text rows as (good rows with the parsed columns, dead letters with a reason).
+
+    Two filters over :func:`judge_json`; a job that writes both sides reads its input
+    twice unless it persists the batch, as the stream writer does.
+    """
+    judged = judge_json(df, body, schema, required)
     good = judged.where(F.col("reason").isNull()).select(
         *[c for c in df.columns if c != body], *[F.col(f"_p.{f.name}").alias(f.name) for f in schema]
     )
