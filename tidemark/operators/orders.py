@@ -55,12 +55,12 @@ def join_dims(orders: DataFrame, customers: DataFrame, products: DataFrame) -> D
     product (the left side of a left join may be split).
     """
     c = customers.withColumn("_cid", F.col("id").cast("string")).drop("id")
+    return join_products(orders.join(c, F.col("customer_id") == F.col("_cid"), "left").drop("_cid"), products)
+
+
+def join_products(orders: DataFrame, products: DataFrame) -> DataFrame:
     p = products.withColumn("_pid", F.col("product_id").cast("string")).drop("product_id")
-    return (
-        orders.join(c, F.col("customer_id") == F.col("_cid"), "left")
-        .join(p, F.col("product_id") == F.col("_pid"), "left")
-        .drop("_cid", "_pid")
-    )
+    return orders.join(p, F.col("product_id") == F.col("_pid"), "left").drop("_pid")
 
 
 def skip_done(orders: DataFrame, done: DataFrame, key: str = "order_id") -> DataFrame:
@@ -135,6 +135,12 @@ def enrich(
     )
 
 
+def mart_input(raw: DataFrame, products: DataFrame) -> DataFrame:
+    """The enriched columns the mart reads, straight from raw orders: no customer
+    attribute is among them, so that join (and its statistics) is left out."""
+    return enrich_amounts(join_products(raw, products)).withColumn("order_date", epoch_ms_date("event_timestamp"))
+
+
 def daily_base(enriched: DataFrame, day=None, exact_customers: bool = True) -> DataFrame:
     """Daily metrics per date, region, category and channel, cancelled orders excluded.
 

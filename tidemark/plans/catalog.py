@@ -217,7 +217,7 @@ pts AS (SELECT nt.asset_id, nt.name, CASE WHEN list_contains(toks, w) THEN 3
     WHEN EXISTS (SELECT 1 FROM ftok WHERE ftok.asset_id = nt.asset_id AND ftok.tok = q.w) THEN 1 ELSE 0 END AS p
   FROM nt, q)"""
 _RANK = with_views("assets", "asset_fields", extra=_RANK_SQL) + """
-SELECT asset_id, name, sum(p) AS score FROM pts GROUP BY asset_id, name HAVING sum(p) > 0
+SELECT asset_id, name, CAST(sum(p) AS BIGINT) AS score FROM pts GROUP BY asset_id, name HAVING sum(p) > 0
 ORDER BY score DESC, name, asset_id LIMIT """
 
 

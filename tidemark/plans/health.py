@@ -85,7 +85,7 @@ def _(spark, sf):
 
 
 @query("consumer_lag", with_views("progress") + """
-SELECT consumer_group, topic, sum(end_offset - committed_offset) AS total_lag, count(*) AS partitions,
+SELECT consumer_group, topic, CAST(sum(end_offset - committed_offset) AS BIGINT) AS total_lag, count(*) AS partitions,
   CASE WHEN sum(end_offset - committed_offset) >= 10000 THEN 'LAGGING' ELSE 'OK' END AS state
 FROM (SELECT *, row_number() OVER (PARTITION BY consumer_group, topic, partition_id ORDER BY ts DESC, event_id DESC) AS rn FROM progress)
 WHERE rn = 1 GROUP BY 1, 2""")

@@ -20,8 +20,12 @@ def enriched(spark, sf):
     return O.enrich(raw, view(spark, sf, "customers"), view(spark, sf, "products"), stats, AS_OF)
 
 
+def base(spark, sf):
+    return O.daily_base(O.mart_input(view(spark, sf, "raw_orders"), view(spark, sf, "products")))
+
+
 def mart(spark, sf):
-    return O.build_mart(O.daily_base(enriched(spark, sf)), None, AS_OF)
+    return O.build_mart(base(spark, sf), None, AS_OF)
 
 
 STATS_SQL = f"""stats AS (
@@ -198,16 +202,16 @@ JOIN rr ON b.report_date = rr.report_date AND b.region IS NOT DISTINCT FROM rr.r
 JOIN cr ON b.report_date = cr.report_date AND b.region IS NOT DISTINCT FROM cr.region
   AND b.category IS NOT DISTINCT FROM cr.category""")
 def _(spark, sf):
-    base = cut_lineage(O.daily_base(enriched(spark, sf)))  # small, and read four times
-    windowed = O.mart_windows(O.union_flagged(base, None))
-    ranks = O.rank_sum(base, ["report_date"], ["region"], "net_revenue", "region_revenue_rank")
-    cats = O.rank_sum(base, ["report_date", "region"], ["category"], "net_revenue", "category_revenue_rank")
-    joined = O.mart_join(base, windowed, ranks, cats, null_safe=True)
+    daily = cut_lineage(base(spark, sf))  # small, and read four times
+    windowed = O.mart_windows(O.union_flagged(daily, None))
+    ranks = O.rank_sum(daily, ["report_date"], ["region"], "net_revenue", "region_revenue_rank")
+    cats = O.rank_sum(daily, ["report_date", "region"], ["category"], "net_revenue", "category_revenue_rank")
+    joined = O.mart_join(daily, windowed, ranks, cats, null_safe=True)
     return O.as_doubles(joined.withColumn("computed_at", S.as_ts(AS_OF)))
 
 
 def _daily(spark, sf):
-    return O.to_daily(O.daily_base(enriched(spark, sf)))
+    return O.to_daily(base(spark, sf))
 
 
 DAILY = BASE + """,
@@ -244,14 +248,12 @@ def _(spark, sf):
 
 @query("rank_region", BASE + WINDOWED_SQL + "\nSELECT * FROM rr")
 def _(spark, sf):
-    base = O.daily_base(enriched(spark, sf))
-    return O.rank_sum(base, ["report_date"], ["region"], "net_revenue", "region_revenue_rank")
+    return O.rank_sum(base(spark, sf), ["report_date"], ["region"], "net_revenue", "region_revenue_rank")
 
 
 @query("rank_category", BASE + WINDOWED_SQL + "\nSELECT * FROM cr")
 def _(spark, sf):
-    base = O.daily_base(enriched(spark, sf))
-    return O.rank_sum(base, ["report_date", "region"], ["category"], "net_revenue", "category_revenue_rank")
+    return O.rank_sum(base(spark, sf), ["report_date", "region"], ["category"], "net_revenue", "category_revenue_rank")
 
 
 @query("union_history", BASE + """

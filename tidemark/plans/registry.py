@@ -8,6 +8,12 @@ QUERIES: dict[str, Callable] = {}
 CHECK_SQL: dict[str, str] = {}
 
 
+def as_bigint(sql: str, *cols: str) -> str:
+    """The check SQL with the sums of integers as BIGINT, the type Spark gives them."""
+    swaps = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({swaps}) FROM ({sql})"
+
+
 def query(key: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``key``."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import epoch_ms_time
 from tidemark.operators import kpi as K
 from tidemark.operators.shaping import latest_per_key
-from tidemark.plans.registry import query
+from tidemark.plans.registry import as_bigint, query
 from tidemark.plans.sources import DEAD_SQL, MESSAGE_SCHEMA
 from tidemark.plans.views import EVENTS_AS_OF, SCHEMAS, view, with_views
 from tidemark.session import scratch_path
@@ -167,9 +167,9 @@ def _(spark, sf):
     return updated(spark, sums, "daily", ["day", "user_id", "event_type"])
 
 
-@query("stream_counter_15min", with_views("counters") + """
+@query("stream_counter_15min", as_bigint(with_views("counters") + """
 SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start, carrier, counter, sum(value) AS total, avg(value) AS mean,
-  max(value) AS highest, min(value) AS lowest FROM counters GROUP BY 1, 2, 3""")
+  max(value) AS highest, min(value) AS lowest FROM counters GROUP BY 1, 2, 3""", "total"))
 def _(spark, sf):
     source = view(spark, sf, "counters", events=stream(spark, sf, "events")).withWatermark("ts", "1 minute")
     keys = ["window_start", "carrier", "counter"]
