@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import edit_similarity, last_part, squash, storage_kind, tokens
 from tidemark.functions.scalar import col_of, half_up
 from tidemark.operators.shaping import topk
-from tidemark.session import cut_lineage
+from tidemark.session import settle
 
 # Word parts that prove a family of data is present.
 FIELD_FAMILIES = {
@@ -330,7 +330,7 @@ def _signatures(sets: DataFrame, left_type: str, right_type: str) -> DataFrame:
     numbers are the same for every reader."""
     of_kind = F.col("asset_type").isin(left_type, right_type)
     distinct = sets.where((F.size("names") > 0) & of_kind).select("asset_type", "names").distinct()
-    return cut_lineage(distinct.withColumn("sig", F.monotonically_increasing_id()))
+    return settle(distinct.withColumn("sig", F.monotonically_increasing_id()), "signatures")
 
 
 def _similar(sigs: DataFrame, left_type: str, right_type: str, threshold: float) -> DataFrame:
@@ -371,7 +371,7 @@ def related(fields: DataFrame, left_type: str, right_type: str, threshold: float
     Ranking happens between signatures; of each signature only its first k assets
     by name can appear in a top k, so only those are joined back.
     """
-    sets = cut_lineage(field_sets(fields))
+    sets = settle(field_sets(fields), "field-sets")
     sigs = _signatures(sets, left_type, right_type)
     signed = sets.join(sigs, ["asset_type", "names"])
     right = signed.where(F.col("asset_type") == right_type).select(

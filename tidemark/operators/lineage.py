@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import col_of
 from tidemark.operators.sinks import upsert_latest
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, settle
 
 # Service in the first name part to entity type; anything else is a table.
 SERVICE_TYPES = {
@@ -39,16 +39,20 @@ def _walk(edges: DataFrame, root: DataFrame, seen: DataFrame, depth: int, upstre
     return seen
 
 
-def lineage(edges: DataFrame, root: str, up: int = 3, down: int = 3) -> DataFrame:
+def lineage(edges: DataFrame, root: str, up: int = 3, down: int = 3, stored: bool = False) -> DataFrame:
     """(node, depth): negative upstream, 0 the root, positive downstream.
 
+    ``stored`` states that ``edges`` is a plain table; a derived frame is written
+    once, as both walks read it at every hop.
+
     The upstream walk goes first and its depth wins. Every hop is reliably
     checkpointed, so the plan does not grow with the walk and a lost executor
     costs one hop; visited nodes are anti-joined, so cycles end.
     """
     start = edges.sparkSession.createDataFrame([(root, 0)], "node string, depth int")
-    # both walks read the edge list at every hop: narrow and settle it once
-    edges = cut_lineage(edges.select("from_fqn", "to_fqn").distinct())
+    edges = edges.select("from_fqn", "to_fqn")
+    if not stored:
+        edges = settle(edges, "edges")
     seen = _walk(edges, start, start, up, upstream=True)
     return _walk(edges, start, seen, down, upstream=False)
 
@@ -81,9 +85,9 @@ def entity_type(fqn, explicit=None) -> Column:
     return ladder if explicit is None else F.coalesce(F.nullif(col_of(explicit), F.lit("")), ladder)
 
 
-def impact(edges: DataFrame, root: str, attributes: DataFrame, down: int = 10) -> DataFrame:
+def impact(edges: DataFrame, root: str, attributes: DataFrame, down: int = 10, stored: bool = False) -> DataFrame:
     """Everything downstream with its attributes, no cap."""
-    walked = lineage(edges, root, 0, down).where(F.col("depth") > 0)
+    walked = lineage(edges, root, 0, down, stored).where(F.col("depth") > 0)
     return walked.join(attributes, "node", "left").withColumn("entity_type", entity_type("node"))
 
 

@@ -10,7 +10,7 @@ from tidemark.operators import lineage as L
 from tidemark.operators import shaping as H
 from tidemark.plans.registry import query
 from tidemark.plans.views import view, with_views
-from tidemark.session import cut_lineage
+from tidemark.session import settle
 
 
 def assets(spark, sf):
@@ -360,7 +360,7 @@ def _(spark, sf):
 @query("edge_walk_join", WALK + "SELECT node FROM u2 UNION ALL SELECT node FROM u1 WHERE node IN "
        "(SELECT from_fqn FROM edges WHERE to_fqn IN (SELECT node FROM u1))")
 def _(spark, sf):
-    e = cut_lineage(edges(spark, sf))
+    e = settle(edges(spark, sf), "edges")
     start = spark.createDataFrame([(ROOT,)], "node string")
     return L.edge_step(L.edge_step(start, e, upstream=True), e, upstream=True)
 
@@ -373,8 +373,8 @@ def _(spark, sf):
 @query("union_edges_distinct", WALK + """
 SELECT DISTINCT from_fqn, to_fqn FROM edges WHERE from_fqn IN (SELECT node FROM walk) AND to_fqn IN (SELECT node FROM walk)""")
 def _(spark, sf):
-    e = cut_lineage(edges(spark, sf))
-    return L.distinct_edges(e, e, L.lineage(e, ROOT))
+    e = settle(edges(spark, sf), "edges")
+    return L.distinct_edges(e, e, L.lineage(e, ROOT, stored=True))
 
 
 @query("lineage_impact", with_views("edges", extra="""

@@ -8,7 +8,7 @@ from tidemark.functions import scalar as S
 from tidemark.operators import orders as O
 from tidemark.plans.registry import query
 from tidemark.plans.views import AS_OF, view, with_views
-from tidemark.session import cut_lineage
+from tidemark.session import settle
 
 
 def enriched(spark, sf):
@@ -202,7 +202,7 @@ JOIN rr ON b.report_date = rr.report_date AND b.region IS NOT DISTINCT FROM rr.r
 JOIN cr ON b.report_date = cr.report_date AND b.region IS NOT DISTINCT FROM cr.region
   AND b.category IS NOT DISTINCT FROM cr.category""")
 def _(spark, sf):
-    daily = cut_lineage(base(spark, sf))  # small, and read four times
+    daily = settle(base(spark, sf), "daily-base")  # small, and read four times
     windowed = O.mart_windows(O.union_flagged(daily, None))
     ranks = O.rank_sum(daily, ["report_date"], ["region"], "net_revenue", "region_revenue_rank")
     cats = O.rank_sum(daily, ["report_date", "region"], ["category"], "net_revenue", "category_revenue_rank")
