@@ -90,12 +90,15 @@ def test_topk_moves_few_rows(spark):
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("pieces", [2, 5, 16])
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.75, 1.0])
-def test_exact_percentile(spark, q):
-    df = spark.createDataFrame([("a", float(v)) for v in [5, 1, 4, 4, 2, 8]] + [("b", 3.0), ("c", None)], "g string, v double")
+def test_exact_percentile(spark, q, pieces):
+    data = [("a", float(v)) for v in [5, 1, 4, 4, 2, 8]] + [("b", 3.0), ("c", None)]
+    data += [("hot", float(v * v % 101)) for v in range(400)] + [("one", 7.0)] * 50
+    df = spark.createDataFrame(data, "g string, v double")
     counts = df.groupBy("g", "v").agg(F.count("v").alias("n"))
-    got = H.with_rank_bounds(counts, ["g"], "v", "n", q).groupBy("g").agg(H.interpolated("v").alias("p"))
-    want = df.groupBy("g").agg(F.percentile("v", q).alias("p"))
+    got = H.exact_percentile(counts, ["g"], "v", "n", q, "p", pieces)
+    want = df.where("v IS NOT NULL").groupBy("g").agg(F.percentile("v", q).alias("p"))
     assert rows(got) == rows(want)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import as_ts, half_up
-from tidemark.operators.shaping import interpolated, latest_per_key, status_counts, with_rank_bounds
+from tidemark.operators.shaping import exact_percentile, latest_per_key, status_counts
+from tidemark.session import settle
 
 MAX_ATTEMPTS = 3
 
@@ -96,24 +97,26 @@ def threshold_monitor(
 ) -> DataFrame:
     """Per window: largest lag, 75th percentile of write time and mean error rate against limits.
 
-    The percentile is exact without holding a window's values in memory: rows are
-    first combined per (window, write time), then ranked by a running count.
+    Rows are first combined per (window, write time) and stored; the percentile is
+    exact and never sorts a whole window in one task.
     """
-    combined = metrics.groupBy(F.window("ts", window)["start"].alias("window_start"), "write_ms").agg(
-        F.count("write_ms").alias("n"),
-        F.max("consumer_lag").alias("max_lag"),
-        F.sum(F.col("error_rate").cast("decimal(20,6)")).alias("errors"),
-        F.count("error_rate").alias("n_errors"),
+    combined = settle(
+        metrics.groupBy(F.window("ts", window)["start"].alias("window_start"), "write_ms").agg(
+            F.count("write_ms").alias("n"),
+            F.max("consumer_lag").alias("max_lag"),
+            F.sum(F.col("error_rate").cast("decimal(20,6)")).alias("errors"),
+            F.count("error_rate").alias("n_errors"),
+        ),
+        "metrics",
     )
-    ranked = with_rank_bounds(combined, ["window_start"], "write_ms", "n", 0.75)
-    error_mean = F.try_divide(F.sum("errors").cast("double"), F.sum("n_errors"))
+    whole = combined.groupBy("window_start").agg(
+        F.max("max_lag").alias("max_lag"),
+        F.try_divide(F.sum("errors").cast("double"), F.sum("n_errors")).alias("error_rate"),
+    )
+    p75 = exact_percentile(combined, ["window_start"], "write_ms", "n", 0.75, "p75")
     return (
-        ranked.groupBy("window_start")
-        .agg(
-            F.max("max_lag").alias("max_lag"),
-            half_up(interpolated("write_ms"), 6).alias("p75_write_ms"),
-            error_mean.alias("error_rate"),
-        )
+        whole.join(p75, "window_start", "left")
+        .withColumn("p75_write_ms", half_up("p75", 6))
         .select(
             "window_start", "max_lag", "p75_write_ms", "error_rate",
             F.when(F.col("max_lag") > lag, "WARNING").otherwise("OK").alias("lag_status"),

@@ -80,31 +80,47 @@ def first_last(df: DataFrame, key: list[str], ts: list[str], value: str, digits:
     )
 
 
-def with_rank_bounds(counts: DataFrame, by: list[str], value: str, n: str, q: float) -> DataFrame:
-    """Marks, per group of (value, count) rows, the two rows an exact percentile lies
-    between. Null values carry a count of 0 and are never marked."""
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    place = F.lit(q) * (F.sum(n).over(whole) - 1)
-    seen = F.sum(n).over(upto)
-    before = seen - F.col(n)
+def exact_percentile(counts: DataFrame, by: list[str], value: str, n: str, q: float, out: str, pieces: int = 16) -> DataFrame:
+    """Exact interpolated percentile per group of (value, count) rows.
 
-    def holds(rank: Column) -> Column:
-        return (before <= rank) & (rank < seen)
-
-    return counts.withColumns(
-        {
-            "_low": F.when(holds(F.floor(place)), F.col(value)),
-            "_high": F.when(holds(F.ceil(place)), F.col(value)),
-            "_part": place - F.floor(place),
-        }
+    No task sorts a whole group: a sketch cuts each group's values into ``pieces``
+    ranges, the counts per range tell which ranges hold the wanted ranks, and only
+    those are ranked. The sketch decides the cuts alone, so its error costs balance
+    and not exactness. ``counts`` is read three times: pass a stored frame.
+    """
+    held = counts.where(F.col(n) > 0).select(*by, value, n)
+    cuts = held.groupBy(*by).agg(
+        F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 1000).alias("_cuts"),
+        (F.lit(q) * (F.sum(n) - 1)).alias("_place"),
     )
+    piece = F.lit(0)
+    for i in range(pieces - 1):
+        piece = piece + (F.col(value) > F.get("_cuts", F.lit(i))).cast("int")
+    placed = held.join(cuts, by).withColumn("_piece", piece).drop("_cuts")
+    low, high = F.floor("_place"), F.ceil("_place")
+    upto = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = (
+        placed.groupBy(*by, "_piece", "_place").agg(F.sum(n).alias("_in"))
+        .withColumn("_before", F.sum("_in").over(upto) - F.col("_in"))
+        .where((F.col("_before") <= high) & (F.col("_before") + F.col("_in") > low))
+        .select(*by, "_piece", "_before")
+    )
+    inside = Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.col("_before") + F.sum(n).over(inside)
+    ranked = placed.join(wanted, [*by, "_piece"]).withColumn("_seen", seen)
 
+    def holds(rank: Column) -> Column:
+        return (F.col("_seen") - F.col(n) <= rank) & (rank < F.col("_seen"))
 
-def interpolated(value: str) -> Column:
-    """The percentile of a group marked by :func:`with_rank_bounds`."""
-    low, high = F.max("_low"), F.max("_high")
-    return low + (high - low) * F.max("_part")
+    return (
+        ranked.groupBy(*by)
+        .agg(
+            F.max(F.when(holds(low), F.col(value))).alias("_low"),
+            F.max(F.when(holds(high), F.col(value))).alias("_high"),
+            F.max(F.col("_place") - low).alias("_part"),
+        )
+        .select(*by, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias(out))
+    )
 
 
 def recent(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
