@@ -32,6 +32,8 @@ SAMPLE = 8_192  # vectors that the trees are made from, by the order of a hash
 PART_ROWS = 20_000
 QUERY_EVERY = 50
 K = 5
+#: Different lengths of vectors in one table.
+WIDTHS = 16
 #: Candidates scored at once for the queries of a leaf.
 SCORED = 1 << 22
 
@@ -124,14 +126,13 @@ def best_of_leaf(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
         for a in range(0, len(asked), step):
             score = points[a : a + step] @ base.T
             score[asked[a : a + step][:, None] == ids[None, :]] = -np.inf
-            for q, s in zip(asked[a : a + step], score, strict=True):
+            for i, s in enumerate(score, a):
                 # rounding may part equal vectors by a hair: everything near the k-th stays for the exact ranking
                 least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
                 near = np.flatnonzero(s >= least - 1e-9) if np.isfinite(least) else np.flatnonzero(np.isfinite(s))
-                own = points[a + int(np.flatnonzero(asked[a : a + step] == q)[0])]
-                exact = (base[near] * own).sum(axis=1)
-                best = near[np.lexsort((ids[near], -exact))][:k]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": (base[best] * own).sum(axis=1)}))
+                exact = (base[near] * points[i]).sum(axis=1)
+                best = np.lexsort((ids[near], -exact))[:k]
+                out.append(pd.DataFrame({"query_id": asked[i], "vec_id": ids[near[best]], "score": exact[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
 
@@ -142,8 +143,8 @@ def search(
 
     Both need vec_id and embedding; other columns are ignored. Rows with a null id, a null or empty vector, null or
     non-finite components or length 0 take no part; vectors of another width than the query's never meet it, as
-    each width has its own forest. Ties go to the smaller vec_id; of rows that repeat a vec_id each is a
-    candidate; an empty table gives an empty result.
+    each width has its own forest. Ties go to the smaller vec_id; rows that repeat a vec_id
+    are one candidate, as near as the nearest of them; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows, asked = usable(vectors), usable(queries)
@@ -222,9 +223,6 @@ def search(
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-WIDTHS = 16
-
-
 @register("op5_forest_neighbours")
 def op5_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -125,7 +125,8 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
         def score(x: Column) -> Column:
             if not kind.bonus:
                 return F.lit(kind.score)
-            context = F.lower(F.right(x["before"], F.lit(CONTEXT_CHARS)))
+            begin = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
+            context = F.lower(F.substring(text, begin.cast("int") + 1, (x["start"] - begin).cast("int")))
             return F.round(F.lit(kind.score) + F.when(context.rlike(kind.context), kind.bonus).otherwise(0.0), 2)
 
         scored = F.transform(
@@ -225,7 +226,7 @@ def redacted(text: Column, spans: Column, group: int = 64) -> Column:
         tail = F.substring(text, F.element_at(all_spans, -1)["end"].cast("int") + 1, F.length(text))
         return F.concat(F.array_join(F.transform(groups, one), ""), tail)
 
-    return F.when(F.size(spans) > 0, let(_merged(spans), by_group)).otherwise(text)
+    return let(spans, lambda found: F.when(F.size(found) > 0, let(_merged(found), by_group)).otherwise(text))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -270,6 +271,7 @@ def _check_sql() -> str:
         "WHEN substr(num, -i, 1)::INT > 4 THEN 2 * substr(num, -i, 1)::INT - 9 ELSE 2 * substr(num, -i, 1)::INT END)) % 10 = 0"
     )
     alone = "NOT regexp_matches(pre, '[A-Za-z0-9]$') AND NOT regexp_matches(post, '^[A-Za-z0-9]')"
+    context = "lower(text[greatest(s - 39, 1):s])"
     code = "replace(m, ' ', '')"
     mod97_sql = (
         f"list_reduce(list_prepend(0, list_transform(string_split(substr({code}, 5) || substr({code}, 1, 4), ''), "
@@ -283,20 +285,20 @@ def _check_sql() -> str:
         "phone": "length(num) BETWEEN 8 AND 15",
         "iban": f"{alone} AND length({code}) BETWEEN 15 AND 34 AND {mod97_sql}",
         "short_card": f"{alone} AND length(num) BETWEEN 13 AND 15 AND {luhn_sql} "
-        "AND regexp_matches(lower(right(pre, 40)), 'card|visa|amex|diners|credit')",
+        f"AND regexp_matches({context}, 'card|visa|amex|diners|credit')",
         "national_id": rf"{alone} AND NOT regexp_matches(m, '^(?:000|666|9[0-9]{{2}})|-00-|0000$') "
-        "AND regexp_matches(lower(right(pre, 40)), 'ssn|social security|national id|tax id')",
+        f"AND regexp_matches({context}, 'ssn|social security|national id|tax id')",
     }
     parts = []
     for rank, (name, pattern) in enumerate(plain.items()):
         parts.append(rf"""
 SELECT r, {rank} AS rank, '{name}' AS kind, s, e FROM (
-  SELECT r, m, pre, post, regexp_replace(m, '[^0-9]', '', 'g') AS num, off + length(pre) AS s, off + length(pre) + length(m) AS e FROM (
-    SELECT r, ms[i] AS m, gs[i] AS pre, gs[i + 1] AS post,
+  SELECT r, text, m, pre, post, regexp_replace(m, '[^0-9]', '', 'g') AS num, off + length(pre) AS s, off + length(pre) + length(m) AS e FROM (
+    SELECT r, text, ms[i] AS m, gs[i] AS pre, gs[i + 1] AS post,
            coalesce(list_sum(list_transform(gs[1:i - 1], lambda x: length(x))), 0)
              + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS off
-    FROM (SELECT r, ms, gs, unnest(range(1, len(ms) + 1)) AS i
-          FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS gs FROM d))))
+    FROM (SELECT r, text, ms, gs, unnest(range(1, len(ms) + 1)) AS i
+          FROM (SELECT r, text, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS gs FROM d))))
 WHERE {test[name]}""")
     union = " UNION ALL ".join(parts)
     return rf"""
