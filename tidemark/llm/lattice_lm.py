@@ -6,8 +6,9 @@ are counted on top. A word's probability is the sum over all ways to cut it into
 forward recursion in log space; single bytes are pieces too, so every word has one. A text is its words and one end.
 
 Documents are taken apart in blocks of bounded size: a block keeps each of its words once, and each
-document as (word, times). Only (block, word) rows meet the corpus counts, so a word that is in every
-document moves once a block, and nothing about the vocabulary's size is assumed.
+document as (word, times). Only (block, word) rows are shuffled to count words over the corpus, so a word
+that is in every document moves once a block; counts and lattice scores go back to the blocks packed, one
+row for each task and block. Nothing about the size of the corpus's vocabulary is assumed.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import settle
@@ -30,7 +32,10 @@ from .subwords import piece_model, slices, vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 HELD_OUT = (7, 2)  # documents whose crc32 modulo the first is the second are not learnt from
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
+#: What goes back to a block for each of its words, and how many of them a task holds before it sends them.
+ENTRY = np.dtype([("at", "<i4"), ("c", "<i8"), ("lattice", "<f8")])
+PACKED_ROWS = 2_000_000
 #: Pseudo-counts that the prior from the vocabulary's scores adds, per piece.
 PRIOR_WEIGHT = 1.0
 #: Shift of the rank in the prior 1 / (rank + shift).
@@ -102,22 +107,35 @@ def vocabulary_pieces(path: str) -> tuple[list[bytes | None], list[float]]:
     return texts, [w / total for w in weights]
 
 
+def counted_words(held: DataFrame) -> DataFrame:
+    """(word, block, at, c, lead): every word of every block with its count in the training documents; lead marks one row a word.
+
+    One shuffle by word; a group has a row for each block that holds the word.
+    """
+    listed = held.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select(
+        "block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("train")
+    )
+    whole = Window.partitionBy("word")
+    first = F.struct("block", "at")
+    return listed.withColumns({"c": F.sum("train").over(whole), "first": F.min(first).over(whole)}).select(
+        "word", "block", "at", "c", (F.col("first") == first).alias("lead")
+    )
+
+
 def piece_counts(vocab: DataFrame, path: str) -> DataFrame:
-    """(piece, n): how often the library's cuts of the training words hold each piece."""
+    """(piece, n): how often the library's cuts of the training words (word, c) hold each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         n = np.zeros(model.get_piece_size(), np.int64)
         for batch in batches:
             cuts = model.encode(batch.column(0).to_pylist(), num_threads=1)
-            ids = np.fromiter((i for cut in cuts for i in cut), np.int64)
-            counts = np.repeat(np.asarray(batch.column(1)), [len(cut) for cut in cuts])
-            np.add.at(n, ids, counts)
+            ids = np.fromiter(chain.from_iterable(cuts), np.int64)
+            np.add.at(n, ids, np.repeat(np.asarray(batch.column(1)), [len(cut) for cut in cuts]))
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["piece", "n"])
 
-    seen = vocab.where("c > 0").select("word", "c")
-    return seen.mapInArrow(run, "piece bigint, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    return vocab.select("word", "c").mapInArrow(run, "piece bigint, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def forward(text: bytes, log_p: dict[bytes, float], longest: int) -> float:
@@ -137,19 +155,45 @@ def forward(text: bytes, log_p: dict[bytes, float], longest: int) -> float:
     return reach[-1]
 
 
-def word_scores(vocab: DataFrame, log_p: dict[bytes, float], n_pieces: int) -> DataFrame:
-    """``vocab`` with the log10 lattice probability of each word."""
-    spark = vocab.sparkSession
-    shared = spark.sparkContext.broadcast(log_p)  # one entry per piece of the vocabulary file
+def block_scores(counted: DataFrame, log_p: dict[bytes, float]) -> DataFrame:
+    """(block, packed): places, counts and log10 lattice probabilities of a block's words, as ``ENTRY`` records.
+
+    Rows of one word stand together, so its lattice is run once a task.
+    """
+    shared = counted.sparkSession.sparkContext.broadcast(log_p)  # one entry per piece of the vocabulary file
     longest = max(map(len, log_p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
-            found = [forward(b" " + w.encode(), table, longest) / math.log(10) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], ["word", "c", "lattice"])
+        held: list[np.ndarray] = []
+        rows, last, lattice = 0, None, 0.0
 
-    return vocab.select("word", "c").mapInArrow(run, "word string, c bigint, lattice double")
+        def flush() -> pa.RecordBatch:
+            joined = np.concatenate(held)
+            joined = joined[np.argsort(joined["block"], kind="stable")]
+            blocks, first = np.unique(joined["block"], return_index=True)
+            packed = [part[["at", "c", "lattice"]].astype(ENTRY).tobytes() for part in np.split(joined, first[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(packed, pa.binary())], ["block", "packed"])
+
+        for batch in batches:
+            part = np.empty(batch.num_rows, [("block", "<i8"), *ENTRY.descr])
+            for i, name in enumerate(("block", "at", "c"), 1):
+                part[name] = np.asarray(batch.column(i))
+            scores = []
+            for w in batch.column(0).to_pylist():
+                if w != last:
+                    last, lattice = w, forward(b" " + w.encode(), table, longest) / math.log(10)
+                scores.append(lattice)
+            part["lattice"] = scores
+            held.append(part)
+            rows += len(part)
+            if rows >= PACKED_ROWS:
+                yield flush()
+                held, rows = [], 0
+        if rows:
+            yield flush()
+
+    return counted.select("word", "block", "at", "c").mapInArrow(run, "block bigint, packed binary")
 
 
 def score(docs: DataFrame, vocabulary: str | None = None, held_out: tuple[int, int] = HELD_OUT) -> DataFrame:
@@ -163,11 +207,9 @@ def score(docs: DataFrame, vocabulary: str | None = None, held_out: tuple[int, i
     spark = docs.sparkSession
     path = vocabulary or vocabulary_path(VOCABULARY)
     held = settle(blocks(docs, held_out), "lm-blocks")
-    listed = held.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select(
-        "block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("train")
-    )
-    vocab = settle(listed.groupBy("word").agg(F.sum("train").alias("c")), "lm-words")
-    totals = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    counted = settle(counted_words(held), "lm-words")
+    vocab = counted.where("lead and c > 0")
+    totals = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = held.select(F.explode("held_out").alias("out")).agg(F.count_if(~F.col("out"))).first()[0]
     n, v = totals["n"] + ends, totals["v"] + (ends > 0)
 
@@ -184,13 +226,8 @@ def score(docs: DataFrame, vocabulary: str | None = None, held_out: tuple[int, i
         if text is not None and w > 0:  # a byte and a letter may be the same text
             log_p[text] = float(np.logaddexp(log_p.get(text, -np.inf), np.log(w)))
     end_lattice = float(np.log10(weights[-1]))
-    scored = word_scores(vocab, log_p, len(texts))
-
-    found = (
-        listed.select("block", "at", "word").join(scored, "word")
-        .groupBy("block").agg(F.collect_list(F.struct("at", "c", "lattice")).alias("scores"))
-    )
-    rows = held.drop("words", "train").join(found, "block", "left")
+    packed = block_scores(counted, log_p).groupBy("block").agg(F.collect_list("packed").alias("scores"))
+    rows = held.drop("words", "train").join(packed, "block", "left")
     base_all = math.log10(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +238,9 @@ def score(docs: DataFrame, vocabulary: str | None = None, held_out: tuple[int, i
                 size = len(of["ids"])
                 first, word, times = (np.asarray(of[k]) for k in ("first", "word", "times"))
                 doc = np.repeat(np.arange(size), np.diff(first))
-                if get["scores"][i].is_valid:
-                    parts = get["scores"][i].values
-                    order = np.argsort(np.asarray(parts.field("at")))
-                    c = np.asarray(parts.field("c"))[order][word]
-                    lattice = np.asarray(parts.field("lattice"))[order][word]
-                else:
-                    c, lattice = np.zeros(0, np.int64), np.zeros(0)
+                found = np.frombuffer(b"".join(get["scores"][i].as_py() or []), ENTRY)
+                found = found[np.argsort(found["at"])][word]
+                c, lattice = found["c"], found["lattice"]
                 base = np.bincount(doc, (np.log10(c + 1.0) - base_all) * times, size) + math.log10(ends + 1) - base_all
                 total = np.bincount(doc, lattice * times, size) + end_lattice
                 known = np.bincount(doc, (c > 0) * times, size).astype(np.int64) + (ends > 0)
