@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
+
+import numpy as np
 
 #: Pieces of text that one worker remembers, the first ones it meets, and their greatest length.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 CACHE_CHARS = 64
+#: New pieces encoded in one string.
+JOINED = 256
 
 #: Text up to the next single space or line feed that stands between two other characters.
 _UNIT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S+)*(?:\s+\Z)?")
@@ -54,23 +58,52 @@ def units(text: str) -> list[str]:
     return found if sum(map(len, found)) == len(text) else [text]
 
 
+def _joins(unit: str) -> bool:
+    """True if a unit may follow another one that joins: then a token starts between them."""
+    return unit[0] in " \n" and not unit[1:2].isspace() and not unit[-1].isspace()
+
+
 class UnitEncoder:
-    """Token ids of whole texts by a byte-level .json vocabulary; units met before are not encoded again."""
+    """Token ids of whole texts by a byte-level .json vocabulary; units met before are not encoded again.
+
+    Ids are kept as bytes, four little-endian ones each. New units are encoded many in one
+    string and parted by the tokens' lengths in bytes, which a byte-level vocabulary fixes.
+    """
 
     def __init__(self, path: str):
         self._encoder = tokenizer(path)
-        self._known: dict[str, list[int]] = {}
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        self._known: dict[str, bytes] = {}
+        self._length = np.zeros(self._encoder.get_vocab_size(), np.int64)
+        for token, i in self._encoder.get_vocab().items():
+            self._length[i] = len(token)  # a character stands for a byte
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._encoder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, found: list[str]) -> dict[str, bytes]:
+        joining, alone = [], []
+        for u in found:
+            (joining if _joins(u) else alone).append(u)
+        out = dict(zip(alone, self._encode(alone), strict=True))
+        groups = [joining[a : a + JOINED] for a in range(0, len(joining), JOINED)]
+        for group, data in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
+            ends = np.cumsum(self._length[np.frombuffer(data, "<u4")])
+            sizes = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in group])
+            at = [0, *((np.searchsorted(ends, sizes) + 1) * 4).tolist()]
+            out.update((u, data[a:b]) for u, (a, b) in zip(group, pairwise(at), strict=True))
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [units(t) if t else [] for t in texts]
-        met = set().union(*cut)
-        fresh = list(met.difference(self._known))
-        now = dict(zip(fresh, (e.ids for e in self._encoder.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
-        if len(self._known) < CACHE_ENTRIES:
-            self._known.update((u, ids) for u, ids in now.items() if len(u) <= CACHE_CHARS)
-        now.update((u, self._known[u]) for u in met if u not in now)
-        look = now.__getitem__
-        return [list(chain.from_iterable(map(look, found))) for found in cut]
+        known = self._known
+        now = self._fresh(list(set().union(*cut).difference(known)))
+        known.update(now)
+        out = [b"".join(map(known.__getitem__, found)) for found in cut]
+        full = len(known) > CACHE_ENTRIES
+        for u in now:
+            if full or len(u) > CACHE_CHARS:
+                del known[u]
+        return out
 
 
 @lru_cache(maxsize=2)
