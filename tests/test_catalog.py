@@ -77,7 +77,6 @@ def test_name_and_time_filters(shop):
 def test_column_and_family_filters(shop):
     assets, fields = shop
     assert rows(C.column_exists(assets, fields, ["ordr_id"]), "asset_id") == [("o",)]
-    assert rows(C.column_exists(assets, fields, ["ordr_id"], similarity=N.gestalt_ratio), "asset_id") == [("o",)]
     assert C.column_exists(assets, fields, []).count() == 4
     assert C.column_exists(assets, fields.where("asset_id = 'p'"), ["zzzzzzz"]).count() == 3
     assert rows(C.field_family(assets, fields, C.goal_family("tables with GPS data")), "asset_id") == [("c",), ("o",), ("s",)]

@@ -7,7 +7,7 @@ from tidemark.functions.vectors import cosine
 from tidemark.operators import lineage as L
 from tidemark.operators import vectors as V
 from tidemark.operators.sinks import upsert_latest
-from tidemark.session import broadcast_if_small, estimated_bytes, shared_dir
+from tidemark.session import shared_dir
 
 EDGES = [("events", "raw"), ("raw", "enriched"), ("customers", "enriched"), ("products", "enriched"), ("enriched", "mart")]
 
@@ -131,13 +131,6 @@ def test_empty_queries_and_threshold(spark):
     assert V.nearest(same, corpus, 1.1).where("item_id IS NULL AND NOT hit").count() == 3
 
 
-def test_size_checked_broadcast(spark):
-    small = spark.range(10)
-    assert estimated_bytes(small) < 1000
-    assert "broadcast" in broadcast_if_small(small)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in broadcast_if_small(small, 1)._jdf.queryExecution().logical().toString().lower()
-
-
 def test_checkpoint_folder_comes_from_the_session(spark):
     class Stated:
         """A cluster session naming its folder, or naming none."""
@@ -159,3 +152,10 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     with pytest.raises(RuntimeError):
         shared_dir(Stated(None))
     assert shared_dir(spark)  # a local session gets a folder of its own
+
+
+def test_impact_walks_a_long_chain_to_its_end(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "p") for i in range(15)], "from_fqn string, to_fqn string, pipeline string")
+    attrs = spark.createDataFrame([("n15", "x")], "node string, owner string")
+    assert L.impact(edges, "n0", attrs).count() == 15
+    assert L.impact(edges, "n0", attrs, down=4).count() == 4

@@ -147,7 +147,6 @@ def test_profile_fingerprints_and_hints(people):
     assert rows(P.semantic_hints(profile), "column", "check", "pattern") == [
         ("customer_id", "non_negative", None), ("email", "regex_match", "email"),
     ]
-    assert P.sample_fraction(100) == 0.01 and P.sample_fraction(100_000_000) == 0.001 and P.sample_fraction(0) == 1.0
 
 
 def test_evaluator_example(spark):
@@ -189,3 +188,17 @@ def test_trend_directions_and_root_cause(spark):
     ]
     edges = spark.createDataFrame([("a", "mart"), ("a", "mart"), ("b", "mart"), ("c", "other")], "from_fqn string, to_fqn string")
     assert rows(Q.root_cause(edges, trend), "asset", "cause", "falling_upstreams") == [("mart", "a", 1)]
+
+
+def test_rounding_is_away_from_zero_and_keeps_large_numbers(spark):
+    from tidemark.functions.scalar import half_up
+
+    values = [1.7e15, -30.05, -2.5, 2.5, 1e300, -1e300, 0.125, -0.125]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(half_up("v", 1)).collect()]
+    assert got == [1.7e15, -30.1, -2.5, 2.5, 1e300, -1e300, 0.1, -0.1]
+
+
+def test_profile_mean_of_extreme_numbers(spark):
+    df = spark.createDataFrame([(1e300, 1.7e15), (1.0, 1.7e15)], "a double, b double")
+    got = {r["column"]: r["avg_num"] for r in P.type_profile(df, "2024-01-01 00:00:00").collect()}
+    assert got["a"] == 5e299 and got["b"] == 1.7e15

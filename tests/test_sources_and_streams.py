@@ -238,3 +238,25 @@ def test_forecast(spark):
                                "k string, d string, v double").withColumn("day", F.to_date("d"))
     got = {r.k: (r.slope, r.days_left) for r in K.saturation(df, ["k"], "v").collect()}
     assert got == {"a": (1.0, 35), "flat": (0.0, None)}
+
+
+def test_a_recomputed_empty_day_is_removed(spark, tmp_path):
+    from tidemark.sources import tables
+
+    path = str(tmp_path / "days")
+    df = spark.createDataFrame([(1, "d1"), (2, "d2")], "v int, day string")
+    tables.write_partitioned(df, path, ["day"])
+    tables.refresh_partition(df.where("v > 9"), path, ["day"], replaced=[{"day": "d1"}])
+    assert [tuple(r) for r in spark.read.parquet(path).select("v", "day").collect()] == [(2, "d2")]
+
+
+def test_registry_keeps_key_and_value_schemas_apart(spark):
+    from tidemark.sources import avro
+
+    raw = spark.createDataFrame(
+        [(("x-key", "g"), [([(1, "k")],)]), (("x-value", "g"), [([(2, "v")],)]), (("y", "g"), None)],
+        "schemaMetadata struct<name:string,schemaGroup:string>, "
+        "schemaBranches array<struct<schemaVersionInfos:array<struct<version:int,schemaText:string>>>>",
+    )
+    got = {(r.name, r.topic, r.version) for r in avro.registry_latest(raw).collect()}
+    assert got == {("x-key", "x", 1), ("x-value", "x", 2), ("y", "y", 0)}

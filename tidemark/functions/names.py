@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tidemark.functions.scalar import col_of
 
@@ -64,18 +60,6 @@ def edit_similarity(a, b) -> Column:
     return F.coalesce(F.lit(1.0) - F.try_divide(F.levenshtein(a, b), longest), F.lit(1.0))
 
 
-@F.pandas_udf(DoubleType())
-def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's matching-block ratio, for exact parity with Python's close match."""
-    return pd.Series(
-        [
-            None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio()
-            for x, y in zip(a, b)
-        ],
-        dtype="float64",
-    )
-
-
 def storage_kind(location, existing=None) -> Column:
     """Storage from the URI scheme; a value already set wins."""
     loc = col_of(location)

@@ -18,9 +18,14 @@ def col_of(c) -> Column:
 
 
 def half_up(x, digits: int) -> Column:
-    """Round half up in plain IEEE steps, so every engine gives the same double."""
+    """Round half away from zero in plain IEEE steps, so every engine gives the same double.
+
+    From 2^52 scaled units on a double has no fraction left to round and stays as it is.
+    """
     scale = 10**digits
-    return F.floor(col_of(x) * scale + F.lit(0.5)) / F.lit(float(scale))
+    value = col_of(x).cast("double")
+    size = F.abs(value) * scale
+    return F.when(size < 2.0**52, F.signum(value) * F.floor(size + 0.5) / F.lit(float(scale))).otherwise(value)
 
 
 def money(x) -> Column:

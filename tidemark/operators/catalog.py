@@ -130,8 +130,7 @@ def column_exists(assets: DataFrame, fields: DataFrame, cols: list[str], ratio:
     """Assets with one of the named columns, or one spelled nearly so.
 
     Assets without fields pass, as does everything when no column is named.
-    ``similarity`` defaults to edit similarity; pass ``gestalt_ratio`` for
-    Python's close-match ratio.
+    ``similarity`` of two columns defaults to edit similarity.
     """
     if not cols:
         return assets

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import col_of
 from tidemark.operators.sinks import upsert_latest
-from tidemark.session import cut_lineage, settle
+from tidemark.session import settle
 
 # Service in the first name part to entity type; anything else is a table.
 SERVICE_TYPES = {
     "kafka": "topic", "hive": "table", "nifi": "pipeline", "looker": "dashboard",
     "metabase": "dashboard", "superset": "dashboard", "dbt": "pipeline",
 }
-BROADCAST_NODES = 1_000_000  # a frontier up to this many names is sent to every task
 
 
 def edge_step(frontier: DataFrame, edges: DataFrame, upstream: bool) -> DataFrame:
@@ -24,30 +25,29 @@ def edge_step(frontier: DataFrame, edges: DataFrame, upstream: bool) -> DataFram
     return hop.join(frontier.select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct()
 
 
-def _walk(edges: DataFrame, root: DataFrame, seen: DataFrame, depth: int, upstream: bool) -> DataFrame:
-    """Hop by hop from the root; ``seen`` nodes are neither reported nor passed through."""
-    frontier, n_frontier = root, 1
-    for hop in range(1, depth + 1):
-        near = F.broadcast(frontier) if n_frontier <= BROADCAST_NODES else frontier
-        fresh = edge_step(near, edges, upstream).join(seen.select("node"), "node", "left_anti")
-        fresh = cut_lineage(fresh.withColumn("depth", F.lit(-hop if upstream else hop)))
-        n_frontier = fresh.count()
-        if n_frontier == 0:
+def _walk(edges: DataFrame, root: DataFrame, seen: DataFrame, depth: int | None, upstream: bool) -> DataFrame:
+    """Hop by hop from the root, without a ``depth`` until nothing new is met; ``seen`` nodes are neither reported nor passed through."""
+    frontier = root
+    for hop in count(1) if depth is None else range(1, depth + 1):
+        fresh = edge_step(frontier, edges, upstream).join(seen.select("node"), "node", "left_anti")
+        fresh = settle(fresh.withColumn("depth", F.lit(-hop if upstream else hop)), "hop")
+        if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
         frontier = fresh
     return seen
 
 
-def lineage(edges: DataFrame, root: str, up: int = 3, down: int = 3, stored: bool = False) -> DataFrame:
+def lineage(edges: DataFrame, root: str, up: int | None = 3, down: int | None = 3, stored: bool = False) -> DataFrame:
     """(node, depth): negative upstream, 0 the root, positive downstream.
 
     ``stored`` states that ``edges`` is a plain table; a derived frame is written
     once, as both walks read it at every hop.
 
-    The upstream walk goes first and its depth wins. Every hop is reliably
-    checkpointed, so the plan does not grow with the walk and a lost executor
-    costs one hop; visited nodes are anti-joined, so cycles end.
+    The upstream walk goes first and its depth wins. Every hop is a stored table,
+    so the plan does not grow with the walk, a lost executor costs one hop, and
+    Spark broadcasts a frontier by its measured size; visited nodes are anti-joined,
+    so cycles end. ``None`` as a depth walks on until nothing new is met.
     """
     start = edges.sparkSession.createDataFrame([(root, 0)], "node string, depth int")
     edges = edges.select("from_fqn", "to_fqn")
@@ -85,8 +85,8 @@ def entity_type(fqn, explicit=None) -> Column:
     return ladder if explicit is None else F.coalesce(F.nullif(col_of(explicit), F.lit("")), ladder)
 
 
-def impact(edges: DataFrame, root: str, attributes: DataFrame, down: int = 10, stored: bool = False) -> DataFrame:
-    """Everything downstream with its attributes, no cap."""
+def impact(edges: DataFrame, root: str, attributes: DataFrame, down: int | None = None, stored: bool = False) -> DataFrame:
+    """Everything downstream with its attributes; ``down`` stops after so many hops."""
     walked = lineage(edges, root, 0, down, stored).where(F.col("depth") > 0)
     return walked.join(attributes, "node", "left").withColumn("entity_type", entity_type("node"))
 

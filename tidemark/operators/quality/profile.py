@@ -9,8 +9,6 @@ from tidemark.functions.scalar import as_ts, half_up
 from tidemark.operators.quality.checks import COLUMNS_PER_PASS, PATTERNS, distinct_count, sketch_distinct
 from tidemark.operators.quality.rules import schema_kind
 
-SAMPLE_SHARE = 0.01
-SAMPLE_ROWS = 100_000
 FINGERPRINTS = {
     "email": PATTERNS["email"],
     "ipv4": PATTERNS["ipv4"],
@@ -27,11 +25,6 @@ PROFILE_FIELDS = [
 ]
 
 
-def sample_fraction(total_rows: int) -> float:
-    """min(1 % of the rows, 100,000 rows) as a fraction."""
-    return 1.0 if total_rows <= 0 else min(SAMPLE_SHARE, SAMPLE_ROWS / total_rows)
-
-
 def type_profile(df: DataFrame, as_of, exact: bool = False) -> DataFrame:
     """Counts and extremes of every column by its type, in one aggregate per slice."""
     parts = []
@@ -46,9 +39,7 @@ def type_profile(df: DataFrame, as_of, exact: bool = False) -> DataFrame:
             if kind == "numeric":
                 made |= {
                     "min_num": F.min(c).cast("double"), "max_num": F.max(c).cast("double"),
-                    "avg_num": half_up(
-                        F.try_divide(F.sum(c.try_cast("decimal(38,6)")).cast("double"), F.count(c)), 4
-                    ),
+                    "avg_num": half_up(F.avg(c.cast("double")), 4),
                     "negatives": F.count_if(c < 0),
                 }
             elif kind == "temporal":

@@ -195,7 +195,7 @@ def profile_rows(checks: DataFrame, as_of_ms: int) -> DataFrame:
     return checks.where(F.col("check") == "completeness").select(
         "asset", F.col("column").alias("name"), F.lit(as_of_ms).cast("long").alias("ts_ms"),
         F.col("metric_value").alias("null_proportion"),
-        F.floor(F.col("metric_value") * F.col("total")).cast("long").alias("null_count"),
+        F.col("hits").cast("long").alias("null_count"),
         F.col("total").alias("values_count"),
         F.when(F.col("status") == "pass", "Success").otherwise("Failed").alias("test_status"),
     )

@@ -89,13 +89,6 @@ def _(spark, sf):
     return C.column_exists(assets(spark, sf), fields(spark, sf), ["invice_id", "shiping_address"]).select("asset_id", "name")
 
 
-@query("column_exists_gestalt")
-def _(spark, sf):
-    return C.column_exists(
-        assets(spark, sf), fields(spark, sf), ["invice_id", "shiping_address"], similarity=N.gestalt_ratio
-    ).select("asset_id", "name")
-
-
 @query("field_family_filter", with_views("assets", "asset_fields") + """
 SELECT a.asset_id, a.name FROM assets a
 WHERE NOT EXISTS (SELECT 1 FROM asset_fields f WHERE f.asset_id = a.asset_id)

@@ -256,7 +256,7 @@ def _(spark, sf):
 
 
 @query("registry_latest", with_views("registry") + """
-SELECT regexp_replace(subject, '-(value|key)$', '') AS name, schema_group, version, schema_text FROM registry""")
+SELECT subject AS name, regexp_replace(subject, '-(value|key)$', '') AS topic, schema_group, version, schema_text FROM registry""")
 def _(spark, sf):
     return A.registry_latest(A.nest_registry(view(spark, sf, "registry")))
 

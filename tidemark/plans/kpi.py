@@ -17,7 +17,7 @@ def counters(spark, sf):
 
 
 def r(x, d=2):
-    return f"floor(({x}) * {10**d} + 0.5) / {10**d}"
+    return f"round(({x})::DOUBLE, {d})"
 
 
 RATE = r(f"100.0::DOUBLE * succ / nullif(succ + fail, 0)")

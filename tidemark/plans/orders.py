@@ -320,7 +320,7 @@ def _(spark, sf):
 @query("qc_period_change", MART + """,
 moves AS (SELECT report_date, region, CAST(sum(CAST(net_revenue AS DECIMAL(20,6))) AS DOUBLE) AS net_revenue,
   CAST(sum(CAST(revenue_vs_prev_week AS DECIMAL(20,6))) AS DOUBLE) AS delta_vs_last_week FROM mart GROUP BY 1, 2),
-graded AS (SELECT *, floor(100.0::DOUBLE * delta_vs_last_week / nullif(net_revenue - delta_vs_last_week, 0) * 10 + 0.5) / 10
+graded AS (SELECT *, round(100.0::DOUBLE * delta_vs_last_week / nullif(net_revenue - delta_vs_last_week, 0), 1)
   AS pct_change_vs_last_week FROM moves)
 SELECT * FROM graded WHERE abs(pct_change_vs_last_week) > 30""")
 def _(spark, sf):

@@ -33,7 +33,7 @@ def as_corpus(df):
     return df.select(F.col("vec_id").alias("item_id"), owner.alias("owner_id"), F.col("embedding").alias("vec"))
 
 
-@query("cosine", CENTROID_SQL + "SELECT vec_id, floor(s * 1000000 + 0.5) / 1000000 AS similarity FROM sims WHERE label = query_id")
+@query("cosine", CENTROID_SQL + "SELECT vec_id, round(s, 6) AS similarity FROM sims WHERE label = query_id")
 def _(spark, sf):
     means = centroids(spark, sf).withColumnRenamed("embedding", "mean")
     return view(spark, sf, "embeddings").join(means, "label").select(
@@ -43,7 +43,7 @@ def _(spark, sf):
 
 _TOP_SQL = """, best AS (SELECT query_id, owner_id, arg_max(vec_id, (s, -vec_id)) AS item_id, max(s) AS s FROM sims {w} GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, owner_id) AS rn FROM best)
-SELECT query_id, item_id, owner_id, floor(s * 1000000 + 0.5) / 1000000 AS similarity FROM ranked WHERE rn <= 10"""
+SELECT query_id, item_id, owner_id, round(s, 6) AS similarity FROM ranked WHERE rn <= 10"""
 
 
 @query("vector_topk", CENTROID_SQL.rstrip() + _TOP_SQL.format(w=""))
@@ -71,12 +71,12 @@ _NEAREST = CENTROID_SQL.rstrip() + """, near AS (SELECT vec_id, arg_max(query_id
 
 
 @query("nearest_with_threshold", _NEAREST + """SELECT vec_id AS query_id, CASE WHEN s >= 0.3 THEN item_id END AS item_id,
-  floor(s * 1000000 + 0.5) / 1000000 AS similarity, s >= 0.3 AS hit FROM near""")
+  round(s, 6) AS similarity, s >= 0.3 AS hit FROM near""")
 def _(spark, sf):
     return _nearest_pattern(spark, sf, 0.3).withColumn("similarity", half_up("similarity", 6))
 
 
-@query("pii_semantic", _NEAREST + """SELECT vec_id AS query_id, item_id, s >= 0.65 AS is_pii, floor(s * 100 + 0.5) / 100 AS confidence FROM near""")
+@query("pii_semantic", _NEAREST + """SELECT vec_id AS query_id, item_id, s >= 0.65 AS is_pii, round(s, 2) AS confidence FROM near""")
 def _(spark, sf):
     return G.pii_semantic(_nearest_pattern(spark, sf, -1.0)).select("query_id", "item_id", "is_pii", "confidence")
 

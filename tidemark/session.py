@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch folder, reliable checkpoints, size-checked broadcast."""
+"""Session helpers: shared scratch folder, reliable checkpoints."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(cores: int | str = "*", app: str = "tidemark", **conf) -> SparkSession:
@@ -67,18 +66,3 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan (no job is run)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only when the estimated size is below ``max_bytes``.
-
-    Above the bound the frame is returned unhinted, so the join falls back to
-    the shuffled strategies, where AQE can split skewed partitions.
-    """
-    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df

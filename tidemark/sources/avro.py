@@ -175,19 +175,23 @@ def nest_registry(flat: DataFrame) -> DataFrame:
 
 
 def registry_latest(raw: DataFrame) -> DataFrame:
-    """Nested listing -> one row per schema with its highest version (a missing version counts as 0)."""
+    """Nested listing -> one row per schema with its highest version, and its topic.
+
+    Keys and values of a topic are schemas of their own; a schema without versions stays, with version 0.
+    """
     versions = (
         raw.where(F.col("schemaMetadata.name") != "")
-        .select("schemaMetadata", F.explode("schemaBranches").alias("b"))
-        .select("schemaMetadata", F.explode("b.schemaVersionInfos").alias("v"))
+        .select("schemaMetadata", F.explode_outer("schemaBranches").alias("b"))
+        .select("schemaMetadata", F.explode_outer("b.schemaVersionInfos").alias("v"))
         .select(
-            strip_topic_suffix("schemaMetadata.name").alias("name"),
+            F.col("schemaMetadata.name").alias("name"),
             F.coalesce("schemaMetadata.schemaGroup", F.lit("Kafka")).alias("schema_group"),
             F.coalesce("v.version", F.lit(0)).alias("version"),
             F.col("v.schemaText").alias("schema_text"),
         )
     )
-    return latest_per_key(versions, ["name", "schema_group"], ["version", "schema_text"])
+    latest = latest_per_key(versions, ["name", "schema_group"], ["version", "schema_text"])
+    return latest.withColumn("topic", strip_topic_suffix("name"))
 
 
 def registry_stats(registry: DataFrame, as_of_ms: int, ttl_ms: int) -> DataFrame:

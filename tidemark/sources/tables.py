@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +41,17 @@ def write_partitioned(
     (writer.partitionBy(*known) if known else writer).parquet(path)
 
 
-def refresh_partition(df: DataFrame, path: str, by: list[str]) -> None:
-    """Replace exactly the partitions present in ``df``; a rerun changes nothing."""
+def refresh_partition(df: DataFrame, path: str, by: list[str], replaced: list[dict] | None = None) -> None:
+    """Replace the partitions present in ``df``; a rerun changes nothing.
+
+    ``replaced`` names the recomputed partitions, as column to value: those of them for
+    which ``df`` has no row are removed, so a day that became empty does not stay.
+    """
+    spark = df.sparkSession
+    for partition in replaced or []:
+        if df.where(functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in partition.items()])).isEmpty():
+            old = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{c}={partition[c]}" for c in by)]))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     (
         df.hint("rebalance", *by)
         .write.mode("overwrite")
