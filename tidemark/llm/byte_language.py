@@ -257,12 +257,11 @@ def predict(docs: DataFrame, languages: list[str], network: Network | None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, net = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
             found: list[str] = []
             score: list[float] = []
-            for a, b in slices(texts, HELD_CHARS):
-                part = [t.encode() if net and any(map(str.isalpha, t)) else b"" for t in texts[a:b]]
-                p = pooled(net, part) if net else np.zeros((b - a, 1))
+            for _, _, texts in slices(batch.column(at), HELD_CHARS):
+                part = [t.encode() if net and any(map(str.isalpha, t)) else b"" for t in texts]
+                p = pooled(net, part) if net else np.zeros((len(part), 1))
                 best = p.argmax(axis=1)
                 found += [names[k] if t else UNKNOWN for k, t in zip(best, part, strict=True)]
                 score += [round(min(1.0, float(p[i, k])), 6) for i, k in enumerate(best)]

@@ -58,14 +58,13 @@ def blocks(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, chars: int = B
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             out = batch.column(2).to_pylist()
-            for a, b in slices(texts, chars):
+            for a, b, texts in slices(batch.column(1), chars):
                 place: dict[bytes, int] = {}
                 train: list[int] = []
                 first, word, times, n_words = [0], [], [], []
-                for i in range(a, b):
-                    found = Counter(texts[i].encode().lower().split())
+                for i, text in enumerate(texts, a):
+                    found = Counter(text.encode().lower().split())
                     for w, n in found.items():
                         k = place.setdefault(w, len(place))
                         if k == len(train):

@@ -29,6 +29,7 @@ from tidemark.session import settle
 
 from .common import documents
 from .registry import register
+from .subwords import slices
 
 SHINGLE = 3
 RADIUS = 2
@@ -41,6 +42,8 @@ SAMPLE_PER_SHARD, SAMPLE_LIMIT = 32, 65_536
 LEAF_POINTS = 256
 #: Shingles whose bits are unpacked at once.
 HASHES = 1 << 16
+#: Characters of text held at once.
+HELD_CHARS = 1 << 20
 SIGN = np.uint64(1 << 63)
 
 
@@ -63,7 +66,8 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            texts = (t for _, _, part in slices(batch.column(1), HELD_CHARS) for t in part)
+            found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc", "fp"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col("text").cast("string").alias("text"))

@@ -8,12 +8,16 @@ from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces of text that one worker remembers, the first ones it meets, and their greatest length.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 64
 #: New pieces encoded in one string.
 JOINED = 256
+#: Strings given to the library in one call.
+AT_ONCE = 16
 
 #: Text up to the next single space or line feed that stands between two other characters.
 _UNIT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S+)*(?:\s+\Z)?")
@@ -78,7 +82,11 @@ class UnitEncoder:
             self._length[i] = len(token)  # a character stands for a byte
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for a in range(0, len(texts), AT_ONCE):  # the library's results take some hundred bytes a token
+            found = self._encoder.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return out
 
     def _fresh(self, found: list[str]) -> dict[str, bytes]:
         joining, alone = [], []
@@ -112,13 +120,15 @@ def unit_encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
-def slices(texts: list[str], chars: int):
-    """Consecutive ranges of texts of about ``chars`` characters, one text at least."""
+def slices(texts: pa.Array, chars: int):
+    """A column of texts in consecutive parts of about ``chars`` bytes, one text at least: (begin, end, texts), null as empty.
+
+    Only one part at a time is turned into Python strings.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     begin, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and held + len(t) > chars:
-            yield begin, i
+    for i, size in enumerate([*sizes, chars]):
+        if i > begin and (held + size > chars or i == len(sizes)):
+            yield begin, i, [t or "" for t in texts.slice(begin, i - begin).to_pylist()]
             begin, held = i, 0
-        held += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+        held += size

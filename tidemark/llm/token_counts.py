@@ -123,13 +123,12 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, count = text_encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             n_tokens: list[int] = []
-            for a, b in slices(texts, BATCH_CHARS):
-                part = texts[a:b]
+            n_bytes: list[int] = []
+            for _, _, part in slices(batch.column(1), BATCH_CHARS):
                 short = iter(count([t for t in part if len(t) <= chunk]))
                 n_tokens += [next(short) if len(t) <= chunk else count_spliced(t, encode, chunk, overlap) for t in part]
-            n_bytes = [len(t.encode()) for t in texts]
+                n_bytes += [len(t.encode()) for t in part]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             )
