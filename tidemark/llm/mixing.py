@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import settle
 
-from .common import documents, let, word_count
+from .common import documents, word_count
 from .registry import register
 
 WEIGHTS = (5, 2, 1)
@@ -92,9 +92,15 @@ def take(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit:
     return _taken(rows, weights, share, limit).select("row.*", "size", "source_size", "target", "taken")
 
 
-def _taken(rows: DataFrame, weights: tuple, share: float, limit: int) -> DataFrame:
-    """From (row, doc_id, source, size, mix_key) to (row, size, source_size, target, taken)."""
-    source = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+def source_key() -> Column:
+    """A source as a join key that is never null."""
+    return F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+
+
+def _placed(rows: DataFrame, weights: tuple, share: float, limit: int) -> DataFrame:
+    """Rows of (doc_id, source, size, mix_key, ...) with src, source_size, target, the number of ``whole`` passes
+    over their source, and the ``part`` of their words that the last pass takes."""
+    source = source_key()
     targets = settle(source_targets(rows.select("source", "size"), weights, share, limit), "mix-targets").select(
         source.alias("src"), "source_size", "target", F.ceil(F.col("n_docs") / RANGE_ROWS).alias("ranges")
     )
@@ -119,9 +125,23 @@ def _taken(rows: DataFrame, weights: tuple, share: float, limit: int) -> DataFra
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(none)
     rest = budget - F.col("whole") * F.col("source_size")
     part = F.greatest(none, F.least(F.col("size"), rest - F.col("start")))
-    return placed.withColumn("whole", whole).select(
-        "row", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).alias("taken")
-    )
+    return placed.withColumn("whole", whole).withColumn("part", part)
+
+
+def _taken(rows: DataFrame, weights: tuple, share: float, limit: int) -> DataFrame:
+    """From (row, doc_id, source, size, mix_key) to (row, size, source_size, target, taken)."""
+    taken = F.col("whole") * F.col("size") + F.col("part")
+    return _placed(rows, weights, share, limit).select("row", "size", "source_size", "target", taken.alias("taken"))
+
+
+def source_cuts(places: DataFrame) -> DataFrame:
+    """src, whole, the place (mix_key, size, doc_id) at which the last pass ends (null: nowhere) and the words
+    it takes of the rows at that place; one row a source."""
+    place = F.struct("mix_key", "size", "doc_id")
+    ends = places.groupBy("src").agg(F.max("whole").alias("whole"), F.min(F.when(F.col("part") < F.col("size"), place)).alias("cut"))
+    ends = settle(ends, "mix-ends")
+    there = places.join(ends.select("src", "cut"), "src").where(place == F.col("cut"))
+    return ends.join(there.groupBy("src").agg(F.sum("part").alias("words")), "src", "left")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -130,25 +150,51 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), "")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole documents as often as they are taken
-    whole, then the first words of the document on the cut. Documents of no words give no row."""
+    whole, then the first words of the document on the cut. Documents of no words give no row.
+
+    Only sizes and keys are ordered. They yield the place of the cut in each source, one row a
+    source, and every document tells from its own place what is taken of it, so texts are not
+    shuffled. Rows that repeat share a place; those on a cut are stored and ranked by number.
+    """
     names = docs.columns
-    packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
-    copies = let(
-        F.floor(F.col("taken") / F.col("size")).cast("int"),
-        lambda n: F.concat(F.array_repeat(F.col("size"), n), F.array(F.col("taken") - n * F.col("size"))),
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"),
+        "source",
+        word_count(F.col("text")).alias("size"),
+        random_key(seed).alias("mix_key"),
+        F.xxhash64("doc_id", "text").alias("doc_id"),
     )
+    narrow = settle(keyed.drop("doc"), "mix-sizes")
+    places = settle(_placed(narrow, weights, share, limit).select("src", "mix_key", "size", "doc_id", "whole", "part"), "mix-places")
     rows = (
-        take(packed, **how)
-        .where(F.col("taken") > 0)
-        .select("doc", "size", F.explode(F.filter(copies, lambda n: n > 0)).alias("n"))
+        keyed.where(F.col("size") > 0)
+        .select("doc", "size", F.struct("mix_key", "size", "doc_id").alias("place"), source_key().alias("src"))
+        .join(settle(source_cuts(places), "mix-cuts"), "src")
+    )
+
+    on_cut = rows.where(F.col("place") == F.col("cut")).withColumn("number", F.monotonically_increasing_id())
+    on_cut = settle(on_cut.select("doc", "size", "src", "whole", "words", "number"), "mix-on-cut")
+    own = Window.partitionBy("src", "block").orderBy("number")
+    numbers = on_cut.select("src", "number", F.floor(F.col("number") / RANGE_ROWS).alias("block"))
+    before = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = numbers.groupBy("src", "block").count().select("src", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    ranks = numbers.join(firsts, ["src", "block"]).select("number", (F.col("first") + F.row_number().over(own) - 1).alias("rank"))
+    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("words") - F.col("rank") * F.col("size")))
+    ending = on_cut.join(settle(ranks, "mix-ranks"), "number").select("doc", "size", "whole", last.alias("last"))
+
+    full = F.col("cut").isNull() | (F.col("place") < F.col("cut"))
+    others = rows.where(F.col("cut").isNull() | (F.col("place") != F.col("cut"))).select(
+        "doc", "size", "whole", F.when(full, F.col("size")).otherwise(F.lit(0).cast("long")).alias("last")
     )
+    copies = F.concat(F.array_repeat(F.col("size"), F.col("whole").cast("int")), F.array(F.col("last")))
+    taken = others.unionByName(ending).select("doc", "size", F.explode(F.filter(copies, lambda n: n > 0)).alias("n"))
     text = F.when(F.col("n") < F.col("size"), first_words(F.col("doc.text"), F.col("n"))).otherwise(F.col("doc.text"))
     cut = {"text": text}
     if "n_chars" in names:
         cut["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[cut.get(c, F.col("doc").getField(c)).alias(c) for c in names])
+    return taken.select(*[cut.get(c, F.col("doc").getField(c)).alias(c) for c in names])
 
 
 CHECK = rf"""
