@@ -272,7 +272,8 @@ def first_of_each(docs: DataFrame, shingle: int = SHINGLE, reach: int = RADIUS)
     first = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), F.col("row"))
     chosen = component_firsts(marked, first, reach)
     stay = settle(chosen.select(F.col("first.row").alias("row")).distinct(), "chosen")
-    return marked.join(stay, "row", "left_semi").select("doc.*")
+    # the list of rows grows with the documents, so it is never broadcast: one plan at every size
+    return marked.join(stay.hint("shuffle_hash"), "row", "left_semi").select("doc.*")
 
 
 @register("op4_simhash_components")
