@@ -133,6 +133,18 @@ def test_mixed_rows_hold_the_words_taken(odd):
     assert all(r.n_chars == len(r.text) or r.text in {t for _, t, *_ in ODD} for r in rows)
 
 
+def test_mixed_ranks_repeated_rows_on_the_cut(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 7)
+    rows = [(1, "a b c", "hot")] * 60 + [(i, "x " * (i % 9), "b") for i in range(2, 60)] + [(None, "n o", None)] * 9
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    want, got = Counter(), Counter()
+    for r in mixing.take(df).collect():
+        want[r.source] += r.taken
+    for r in mixing.mixed(df).collect():
+        got[r.source] += len(r.text.split())
+    assert got == want and want["hot"] % (60 * 3)  # the cut lies among the copies
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
