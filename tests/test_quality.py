@@ -32,8 +32,8 @@ def test_seeded_defects_are_found(people):
     assert status(card, check="uniqueness", column="customer_id") == "pass"
     assert status(card, check="validity", column="email") == "pass"
     assert status(card, check="validity", column="amount") == "fail"  # one of eight is negative
-    plan = C.validate_checks({"scope": "full", "checks": [{"type": "regex_match", "col": "phone", "pattern": "phone"}]}, people.schema)
-    assert status(C.grade(C.run_checks(people, plan["checks"], NOW))) == "fail"
+    plan = C.plan_checks({"scope": "full", "checks": [{"type": "regex_match", "col": "phone", "pattern": "phone"}]}, people.schema)
+    assert status(C.run_plan(people, plan, NOW)) == "fail"
 
 
 def test_score_and_driver(people):
@@ -67,24 +67,46 @@ def test_info_rows_do_not_count(spark):
 
 
 def test_not_null_can_fire(people):
-    checks = [{"col": "email", "type": "not_null", "params": {}}]
-    got = C.grade(C.run_checks(people, checks, NOW)).first()
+    got = C.grade(C.run_checks(people, [C.Check(0, "not_null", "email")], NOW)).first()
     assert (got.hits, got.metric_value, got.status) == (1, 0.125, "warn")
 
 
-def test_validation_refuses_what_it_must(people):
+def test_unsuitable_checks_become_error_rows_and_stop_no_other(people):
     bad = [
-        {"type": "nope", "col": "email"}, {"type": "not_null", "col": "gone"}, "text",
+        {"type": "nope", "col": "email"}, {"type": "not_null", "col": "gone"}, "text", {"type": [], "col": {}},
         {"type": "regex_match", "col": "email", "pattern": "mine"}, {"type": "range", "col": "amount"},
-        {"type": "range", "col": "amount", "max": 1e16}, {"type": "range", "col": "amount", "min": True},
-        {"type": "in_set", "col": "email", "values": []}, {"type": "in_set", "col": "email", "values": list(range(51))},
-        {"type": "not_before", "col": "email", "date": "soon"},
+        {"type": "range", "col": "amount", "min": True}, {"type": "range", "col": "amount", "max": float("inf")},
+        {"type": "in_set", "col": "email", "values": []}, {"type": "in_set", "col": "amount", "values": ["a"]},
+        {"type": "not_before", "col": "email", "date": "2020-01-01"}, {"type": "non_negative", "col": "email"},
+        {"type": "length_between", "col": "amount", "min": 1},
     ]
-    plan = C.validate_checks({"scope": "weird", "checks": bad}, people.schema)
-    assert not plan["ok"] and len(plan["errors"]) == len(bad) + 1 and plan["scope"] == "sample"
-    many = [{"type": "not_null", "col": "email"}] * 101
-    plan = C.validate_checks({"scope": "full", "checks": many}, people.schema)
-    assert len(plan["checks"]) == 100 and plan["needs_confirm"] and len(plan["errors"]) == 1
+    plan = C.plan_checks({"scope": "full", "checks": [*bad, {"type": "not_null", "col": "email"}]}, people.schema)
+    got = C.run_plan(people, plan, NOW).collect()
+    assert [r.check_no for r in got if r.status == "error"] == list(range(len(bad))) and all(r.label for r in got)
+    assert [(r.check_no, r.hits, r.status) for r in got if r.status != "error"] == [(len(bad), 1, "warn")]
+    assert C.run_plan(people, C.plan_checks({"checks": bad}, people.schema), NOW).count() == len(bad)
+    assert C.plan_checks({"checks": "none"}, people.schema).checks == ()
+
+
+def test_dates_are_read_whole(spark):
+    df = spark.sql("SELECT DATE '2020-05-01' AS d")
+    days = ["2020-99-99", "2020", 7, "2021-01-01"]
+    plan = C.plan_checks({"scope": "full", "checks": [{"type": "not_before", "col": "d", "date": x} for x in days]}, df.schema)
+    assert [r.no for r in plan.refused] == [0, 1, 2]
+    assert [(r.hits, r.status) for r in C.run_plan(df, plan, NOW).where("status <> 'error'").collect()] == [(1, "fail")]
+
+
+def test_no_number_of_checks_or_values_is_cut(people):
+    many = [{"type": "in_set", "col": "amount", "values": list(range(60))}, {"type": "range", "col": "amount", "max": 1e16}]
+    plan = C.plan_checks({"scope": "full", "checks": many + [{"type": "not_null", "col": "email"}] * 101}, people.schema)
+    assert len(plan.checks) == 103 and not plan.refused and C.run_plan(people, plan, NOW).count() == 103
+
+
+def test_a_sample_is_asked_for_with_its_share(spark):
+    df = spark.range(1000)
+    plan = C.plan_checks({"scope": "weird", "checks": [{"type": "not_null", "col": "id"}]}, df.schema, fraction=0.2)
+    got = C.run_plan(df, plan, NOW).first()
+    assert got.scope == "sample" and 100 < got.total < 300
 
 
 def test_many_columns_are_sliced(spark):
@@ -95,7 +117,7 @@ def test_many_columns_are_sliced(spark):
 
 def test_unique_grade_limits(spark):
     df = spark.range(100).select(F.when(F.col("id") < 95, F.col("id")).otherwise(0).alias("x_id"), F.lit(None).cast("int").alias("n_id"))
-    got = {r.column: r for r in C.grade(C.run_checks(df, [{"col": c, "type": "unique", "params": {}} for c in df.columns], NOW)).collect()}
+    got = {r.column: r for r in C.grade(C.run_checks(df, [C.Check(i, "unique", c) for i, c in enumerate(df.columns)], NOW)).collect()}
     assert got["x_id"].status == "warn" and got["x_id"].label == "95.0% distinct"
     assert got["n_id"].status == "pass"  # nothing to compare
 

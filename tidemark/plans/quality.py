@@ -71,8 +71,8 @@ _SINGLE_CHECKS = [
 def _single(kind, source, spec):
     def run(spark, sf):
         df = view(spark, sf, source)
-        plan = C.validate_checks({"scope": "full", "checks": [{"type": kind, **spec}]}, df.schema)
-        return C.grade(C.run_checks(df, plan["checks"], AS_OF))
+        plan = C.plan_checks({"scope": "full", "checks": [{"type": kind, **spec}]}, df.schema)
+        return C.grade(C.run_checks(df, plan.checks, AS_OF))
 
     return run
 
@@ -112,29 +112,36 @@ _MANY_SQL = [
        + 'SELECT check_no, "check", "column", total, non_null, hits FROM graded')
 def _(spark, sf):
     df = view(spark, sf, "order_events")
-    checks = C.validate_checks({"scope": "full", "checks": _MANY}, df.schema)["checks"]
+    checks = C.plan_checks({"scope": "full", "checks": _MANY}, df.schema).checks
     return C.run_checks(df, checks, AS_OF).drop("warn", "fail")
 
 
 @query("grade_checks", with_views("order_events") + check_rows("order_events", _MANY_SQL))
 def _(spark, sf):
     df = view(spark, sf, "order_events")
-    checks = C.validate_checks({"scope": "full", "checks": _MANY}, df.schema)["checks"]
+    checks = C.plan_checks({"scope": "full", "checks": _MANY}, df.schema).checks
     return C.grade(C.run_checks(df, checks, AS_OF))
 
 
-@query("validate_checks")
+_UNFIT = [
+    {"type": "range", "col": "quantity"},
+    {"type": "in_set", "col": "region", "values": []},
+    {"type": "made_up", "col": "region"},
+    {"type": "not_null", "col": "nowhere"},
+    {"type": "non_negative", "col": "region"},
+]
+_UNFIT_SQL = """
+UNION ALL SELECT * FROM (VALUES
+  (7, 'range', 'quantity', 'needs min or max'), (8, 'in_set', 'region', 'no values are listed'), (9, 'made_up', 'region', 'unknown kind'),
+  (10, 'not_null', 'nowhere', 'no such column'), (11, 'non_negative', 'region', 'does not fit string')) AS v(check_no, "check", "column", label)
+"""
+
+
+@query("validate_checks", with_views("order_events") + "SELECT *, 'full' AS scope FROM (" + check_rows("order_events", _MANY_SQL)
+       + _UNFIT_SQL.replace("SELECT *", "SELECT check_no, \"check\", \"column\", NULL, NULL, NULL, NULL, label, 'error'") + ")")
 def _(spark, sf):
     df = view(spark, sf, "order_events")
-    proposed = _MANY + [
-        {"type": "range", "col": "quantity"},
-        {"type": "in_set", "col": "region", "values": []},
-        {"type": "made_up", "col": "region"},
-        {"type": "not_null", "col": "nowhere"},
-    ]
-    plan = C.validate_checks({"scope": "full", "checks": proposed}, df.schema)
-    graded = C.grade(C.run_checks(df, plan["checks"], AS_OF))
-    return graded.withColumn("refused", F.array(*[F.lit(e) for e in plan["errors"]]))
+    return C.run_plan(df, C.plan_checks({"scope": "full", "checks": _MANY + _UNFIT}, df.schema), AS_OF)
 
 
 def scorecard_rows(source: str, asset: str, cols: list[str], ids: list[str], rules: list[tuple]) -> str:
