@@ -224,3 +224,9 @@ def test_profile_mean_of_extreme_numbers(spark):
     df = spark.createDataFrame([(1e300, 1.7e15), (1.0, 1.7e15)], "a double, b double")
     got = {r["column"]: r["avg_num"] for r in P.type_profile(df, "2024-01-01 00:00:00").collect()}
     assert got["a"] == 5e299 and got["b"] == 1.7e15
+
+
+def test_rules_that_do_not_fit_a_type_become_error_rows(people):
+    rules = [("email", "non_negative"), ("amount", "email_validation"), ("amount", "not_future"), ("email", "not_null")]
+    got = {(r.column, r.rule): r.status for r in K.rule_violations(people, "people", NOW, rules).collect()}
+    assert got == dict.fromkeys(rules[:3], "error") | {rules[3]: "fail"}  # 12.5 % nulls, limits 1 and 10

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalar import as_ts, col_of
-from tidemark.operators.quality.checks import PATTERNS, outside, trim_blank
+from tidemark.operators.quality.checks import ANY, NUMBER, PATTERNS, TEXT, TIME, outside, trim_blank
 
 # Warn and fail limits in percent of non-null rows.
 RULE_LIMITS = {
@@ -45,6 +45,17 @@ RULES = {
     "not_null": lambda c, now: c.isNull(),
 }
 
+#: Column types a rule can run on; numbers where none are named.
+RULE_TYPES = {
+    **dict.fromkeys(("email_validation", "ipv4_validation", "mac_validation", "non_empty"), TEXT),
+    **dict.fromkeys(("not_future", "not_too_old"), TIME),
+    "not_null": ANY,
+}
+
+
+def rule_fits(rule: str, dtype: T.DataType) -> bool:
+    return rule in RULES and isinstance(dtype, RULE_TYPES.get(rule, NUMBER))
+
 # Name families in order of precedence; the first whose word is in
 # the name and whose kind fits the type decides.
 FAMILIES = [

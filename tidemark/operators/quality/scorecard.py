@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import half_up, pct_label, three_level
 from tidemark.operators.quality.checks import COLUMNS_PER_PASS, distinct_status, sketch_distinct
-from tidemark.operators.quality.rules import RULE_LIMITS, RULES, schema_rules
+from tidemark.operators.quality.rules import RULE_LIMITS, RULES, rule_fits, schema_rules
 
 WARN_NULL, FAIL_NULL = 0.05, 0.20
 
@@ -126,9 +126,10 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def rule_violations(df: DataFrame, table: str, as_of, rules: list[tuple[str, str]]) -> DataFrame:
-    """Total, violations and share per (column, rule); unknown columns and rules
-    are reported with status ``error`` and not run."""
-    good = [(c, r) for c, r in rules if c in df.columns and r in RULES]
+    """Total, violations and share per (column, rule); unknown columns and rules, and
+    rules that do not fit their column's type, are reported with status ``error`` and not run."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    good = [(c, r) for c, r in rules if c in types and rule_fits(r, types[c])]
     bad = [(c, r) for c, r in rules if (c, r) not in good]
     narrow = df.select(*dict.fromkeys(c for c, _ in good))
     graded = grade_scorecard(measure(narrow, table, as_of, [], good, False)).where(F.col("check") == "validity")
