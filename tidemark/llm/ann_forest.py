@@ -6,8 +6,9 @@ priority queue holds the open nodes of the whole forest, ordered by the smallest
 to a boundary on the way there, and hands out leaves until the budget of leaves is used
 up. The vectors of those leaves are the candidates, ranked by their exact cosine.
 
-A leaf's size is counted first, and a leaf with more than ``PART_ROWS`` vectors, as a vector that a third
-of all rows share would make it, is dealt over several tasks; queries visit all its parts.
+Leaves are counted first. A leaf of over twice the mean size, as a vector that a third of all rows share
+would make it, or of more than ``PART_ROWS`` vectors is dealt over several tasks, and queries visit all its
+parts; the visits of a leaf are dealt in parts of ``PART_QUERIES`` at most. Vectors travel in the type they are stored in.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .registry import register
 
@@ -29,7 +31,10 @@ LEAVES = 64  # of each tree
 #: sphere, so neighbours are barely nearer than others and much of the index has to be looked at; vectors with structure need less.
 VISIT = 0.27
 SAMPLE = 8_192  # vectors that the trees are made from, by the order of a hash
-PART_ROWS = 20_000
+PART_ROWS, PART_QUERIES = 20_000, 20_000
+#: Rows that a part of a leaf should have at least.
+LEAST_PART = 256
+PLACE = ["width", "tree", "leaf"]
 QUERY_EVERY = 50
 K = 5
 #: Different lengths of vectors in one table.
@@ -38,9 +43,15 @@ WIDTHS = 16
 SCORED = 1 << 22
 
 
+def component(vectors: DataFrame) -> str:
+    """The type that holds the components of a table's vectors exactly: float where they are stored so, else double."""
+    held = vectors.schema["embedding"].dataType
+    return "float" if isinstance(held, T.ArrayType) and isinstance(held.elementType, T.FloatType) else "double"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles): vectors of finite components and some length other than 0, of the most common width."""
-    e = F.col("embedding").cast("array<double>")
+    """vec_id, embedding and width: vectors of finite components and some length other than 0; components stay floats or become doubles."""
+    e = F.col("embedding").cast(f"array<{component(vectors)}>")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select("vec_id", e.alias("embedding")).where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists(e, lambda x: x != 0)
@@ -72,6 +83,7 @@ def grow(sample: np.ndarray, leaves: int, rng: np.random.Generator) -> list:
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; the largest component is taken out first, so nothing overflows or vanishes."""
+    vectors = np.asarray(vectors, np.float64)
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
@@ -136,6 +148,18 @@ def best_of_leaf(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
 
+def parts_of(rows: DataFrame, most: int, balanced: bool) -> Column:
+    """Parts that the rows of a leaf are dealt over: none has above ``most`` rows nor, where ``balanced``, above twice the mean leaf."""
+    counts = rows.groupBy(*PLACE).count().collect()  # a row per leaf of the forest at most
+    if balanced and counts:
+        most = min(most, max(LEAST_PART, 2 * sum(r["count"] for r in counts) // len(counts)))
+    large = {":".join(str(r[c]) for c in PLACE): -(-r["count"] // most) for r in counts if r["count"] > most}
+    if not large:
+        return F.lit(1)
+    table = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])
+    return F.coalesce(table[F.concat_ws(":", *PLACE)], F.lit(1))
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, leaves: int = LEAVES, visit: float = VISIT, seed: int = 3
 ) -> DataFrame:
@@ -168,6 +192,9 @@ def search(
             flat = np.asarray(held.take(pa.array(at)).flatten())
             yield int(w), at, unit(flat.reshape(len(at), int(w)))
 
+    kinds = {"vec_id": component(vectors), "query_id": component(queries)}
+    arrow = {key: pa.list_(pa.float32() if kind == "float" else pa.float64()) for key, kind in kinds.items()}
+
     def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, at, points in numbered(batch):
@@ -176,7 +203,7 @@ def search(
                     size = len(at)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(size, w, np.int32)), pa.array(np.full(size, t, np.int32)), pa.array(leaf_of(nodes, points).astype(np.int32)),
-                         own.column(0), own.column(1).cast(pa.list_(pa.float64()))],
+                         own.column(0), own.column(1).cast(arrow["vec_id"])],
                         ["width", "tree", "leaf", "vec_id", "embedding"],
                     )
 
@@ -192,24 +219,21 @@ def search(
                     one = batch.take(pa.array([i] * len(found)))
                     tree, leaf = (pa.array(x, pa.int32()) for x in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([w] * len(found), pa.int32()), tree, leaf, one.column(0), one.column(1).cast(pa.list_(pa.float64()))],
+                        [pa.array([w] * len(found), pa.int32()), tree, leaf, one.column(0), one.column(1).cast(arrow["query_id"])],
                         ["width", "tree", "leaf", "query_id", "embedding"],
                     )
 
-    place = "width int, tree int, leaf int"
-    index = rows.mapInArrow(to_leaves, f"{place}, vec_id bigint, embedding array<double>")
-    visits = asked.mapInArrow(to_visits, f"{place}, query_id bigint, embedding array<double>")
-    sizes = index.groupBy("width", "tree", "leaf").count()
-    large = {  # a row per leaf of the forest at most
-        (r["width"], r["tree"], r["leaf"]): -(-r["count"] // PART_ROWS) for r in sizes.where(F.col("count") > PART_ROWS).collect()
-    }
-    parts = F.lit(1)
-    if large:
-        table = F.create_map(*[F.lit(x) for key, n in large.items() for x in (":".join(map(str, key)), n)])
-        parts = F.coalesce(table[F.concat_ws(":", "width", "tree", "leaf")], F.lit(1))
-    keys = ["width", "tree", "leaf", "part"]
-    dealt = index.withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), parts).cast("int"))
-    spread = visits.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    schema = "width int, tree int, leaf int, {0} bigint, embedding array<{1}>"
+    index = rows.mapInArrow(to_leaves, schema.format("vec_id", kinds["vec_id"]))
+    visits = asked.mapInArrow(to_visits, schema.format("query_id", kinds["query_id"]))
+    parts, blocks = parts_of(index, PART_ROWS, balanced=True), parts_of(visits, PART_QUERIES, balanced=False)
+    keys = [*PLACE, "part", "block"]
+    dealt = index.withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), parts).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), blocks - 1))
+    )
+    spread = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), parts - 1))
+    )
 
     def rank(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         return best_of_leaf(one, other, k)
@@ -218,7 +242,8 @@ def search(
         dealt.groupBy(*keys).cogroup(spread.groupBy(*keys))
         .applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
     )
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # the rows of a query, k a visited part, meet once for both steps below
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
