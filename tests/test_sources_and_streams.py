@@ -90,18 +90,22 @@ def test_topk_moves_few_rows(spark):
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("pieces", [2, 5, 16])
-@pytest.mark.parametrize("q", [0.0, 0.5, 0.75, 1.0])
-def test_exact_percentile(spark, q, pieces):
-    data = [("a", float(v)) for v in [5, 1, 4, 4, 2, 8]] + [("b", 3.0), ("c", None)]
-    data += [("hot", float(v * v % 101)) for v in range(400)] + [("one", 7.0)] * 50
-    df = spark.createDataFrame(data, "g string, v double")
-    counts = df.groupBy("g", "v").agg(F.count("v").alias("n"))
-    got = H.exact_percentile(counts, ["g"], "v", "n", q, "p", pieces)
-    want = df.where("v IS NOT NULL").groupBy("g").agg(F.percentile("v", q).alias("p"))
+def test_threshold_monitor_percentile_of_a_hot_window(spark):
+    data = [("2026-01-01 00:00:00", v * v % 101) for v in range(400)] + [("2026-01-01 00:07:00", v) for v in (5, 1, 4, 4, 2, 8, None)]
+    data += [("2026-01-01 00:12:00", 7)] * 50 + [("2026-01-01 00:17:00", None)]
+    df = spark.createDataFrame(data, "at string, write_ms long").select(
+        F.col("at").cast("timestamp").alias("ts"), "write_ms", F.lit(1).cast("long").alias("consumer_lag"), F.lit(0.5).alias("error_rate")
+    )
+    got = O.threshold_monitor(df).select("window_start", "p75_write_ms", "error_rate")
+    want = df.groupBy(F.window("ts", "5 minutes")["start"].alias("window_start")).agg(F.percentile("write_ms", 0.75), F.avg("error_rate"))
     assert rows(got) == rows(want)
 
 
+def test_limits_are_asked_for(spark):
+    df = spark.range(300)
+    assert H.select_or_count(df, ["id"], "id").count() == 300 and H.select_or_count(df, ["id"], "id", 7).count() == 7
+
+
 # --- registry and Avro ---------------------------------------------------------
 
 

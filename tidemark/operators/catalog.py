@@ -154,8 +154,8 @@ def field_family(assets: DataFrame, fields: DataFrame, family: str | None) -> Da
     return assets.join(judged, "asset_id", "left").where(F.coalesce(F.col("_hit"), F.lit(True))).drop("_hit")
 
 
-def substring_search(df: DataFrame, cols: list[str], q: str, order: list[str], limit: int | None = 20) -> DataFrame:
-    """Rows with the text in any column, any case; % and _ are plain characters."""
+def substring_search(df: DataFrame, cols: list[str], q: str, order: list[str], limit: int | None = None) -> DataFrame:
+    """Rows with the text in any column, any case; % and _ are plain characters. With a ``limit``, the first by ``order``."""
     out = df.where(contains_any(F.lower(F.concat_ws("\u0001", *cols)), [q.lower()]))
     return out if limit is None else out.orderBy(*order).limit(limit)
 

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import as_ts, half_up
-from tidemark.operators.shaping import exact_percentile, latest_per_key, status_counts
-from tidemark.session import settle
+from tidemark.operators.shaping import latest_per_key, status_counts
 
 MAX_ATTEMPTS = 3
 
@@ -97,25 +96,22 @@ def threshold_monitor(
 ) -> DataFrame:
     """Per window: largest lag, 75th percentile of write time and mean error rate against limits.
 
-    Rows are first combined per (window, write time) and stored; the percentile is
-    exact and never sorts a whole window in one task.
+    Rows are first combined per (window, write time), so a window's repeated times meet
+    as one row each; the exact percentile holds the distinct write times of a window in memory.
     """
-    combined = settle(
-        metrics.groupBy(F.window("ts", window)["start"].alias("window_start"), "write_ms").agg(
-            F.count("write_ms").alias("n"),
-            F.max("consumer_lag").alias("max_lag"),
-            F.sum(F.col("error_rate").cast("decimal(20,6)")).alias("errors"),
-            F.count("error_rate").alias("n_errors"),
-        ),
-        "metrics",
+    combined = metrics.groupBy(F.window("ts", window)["start"].alias("window_start"), "write_ms").agg(
+        F.count("write_ms").alias("n"),
+        F.max("consumer_lag").alias("max_lag"),
+        F.sum(F.col("error_rate").cast("decimal(20,6)")).alias("errors"),
+        F.count("error_rate").alias("n_errors"),
     )
-    whole = combined.groupBy("window_start").agg(
-        F.max("max_lag").alias("max_lag"),
-        F.try_divide(F.sum("errors").cast("double"), F.sum("n_errors")).alias("error_rate"),
-    )
-    p75 = exact_percentile(combined, ["window_start"], "write_ms", "n", 0.75, "p75")
     return (
-        whole.join(p75, "window_start", "left")
+        combined.groupBy("window_start")
+        .agg(
+            F.max("max_lag").alias("max_lag"),
+            F.try_divide(F.sum("errors").cast("double"), F.sum("n_errors")).alias("error_rate"),
+            F.percentile("write_ms", 0.75, F.col("n")).alias("p75"),
+        )
         .withColumn("p75_write_ms", half_up("p75", 6))
         .select(
             "window_start", "max_lag", "p75_write_ms", "error_rate",

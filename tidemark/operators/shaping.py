@@ -35,7 +35,7 @@ def ordered_limit(df: DataFrame, order: list, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def capped(df: DataFrame, cap: int = 200) -> DataFrame:
+def capped(df: DataFrame, cap: int) -> DataFrame:
     return df.limit(cap)
 
 
@@ -80,49 +80,6 @@ def first_last(df: DataFrame, key: list[str], ts: list[str], value: str, digits:
     )
 
 
-def exact_percentile(counts: DataFrame, by: list[str], value: str, n: str, q: float, out: str, pieces: int = 16) -> DataFrame:
-    """Exact interpolated percentile per group of (value, count) rows.
-
-    No task sorts a whole group: a sketch cuts each group's values into ``pieces``
-    ranges, the counts per range tell which ranges hold the wanted ranks, and only
-    those are ranked. The sketch decides the cuts alone, so its error costs balance
-    and not exactness. ``counts`` is read three times: pass a stored frame.
-    """
-    held = counts.where(F.col(n) > 0).select(*by, value, n)
-    cuts = held.groupBy(*by).agg(
-        F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 1000).alias("_cuts"),
-        (F.lit(q) * (F.sum(n) - 1)).alias("_place"),
-    )
-    piece = F.lit(0)
-    for i in range(pieces - 1):
-        piece = piece + (F.col(value) > F.get("_cuts", F.lit(i))).cast("int")
-    placed = held.join(cuts, by).withColumn("_piece", piece).drop("_cuts")
-    low, high = F.floor("_place"), F.ceil("_place")
-    upto = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = (
-        placed.groupBy(*by, "_piece", "_place").agg(F.sum(n).alias("_in"))
-        .withColumn("_before", F.sum("_in").over(upto) - F.col("_in"))
-        .where((F.col("_before") <= high) & (F.col("_before") + F.col("_in") > low))
-        .select(*by, "_piece", "_before")
-    )
-    inside = Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.col("_before") + F.sum(n).over(inside)
-    ranked = placed.join(wanted, [*by, "_piece"]).withColumn("_seen", seen)
-
-    def holds(rank: Column) -> Column:
-        return (F.col("_seen") - F.col(n) <= rank) & (rank < F.col("_seen"))
-
-    return (
-        ranked.groupBy(*by)
-        .agg(
-            F.max(F.when(holds(low), F.col(value))).alias("_low"),
-            F.max(F.when(holds(high), F.col(value))).alias("_high"),
-            F.max(F.col("_place") - low).alias("_part"),
-        )
-        .select(*by, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias(out))
-    )
-
-
 def recent(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
     """Rows of the last ``days`` days, the bound being a literal the scan can use."""
     now = as_ts(as_of)
@@ -141,14 +98,14 @@ def snapshot_span(df: DataFrame, ts: str, by: list[str] | None = None) -> DataFr
     )
 
 
-def select_or_count(df: DataFrame, cols: list[str] | None = None, order: str | None = None, limit: int = 100) -> DataFrame:
-    """Row count without ``cols``; else the columns, newest first, up to ``limit``."""
+def select_or_count(df: DataFrame, cols: list[str] | None = None, order: str | None = None, limit: int | None = None) -> DataFrame:
+    """Row count without ``cols``; else the columns, newest first; all rows unless a ``limit`` is given."""
     if not cols:
         return df.agg(F.count(F.lit(1)).alias("total"))
     out = df.select(*cols)
     if order:
         out = out.orderBy(F.col(order).desc(), *cols)
-    return out.limit(limit)
+    return out if limit is None else out.limit(limit)
 
 
 def union_assets(*frames: DataFrame) -> DataFrame:

@@ -103,9 +103,7 @@ def _(spark, sf):
 SELECT asset_id, name FROM assets WHERE lower(name) LIKE '%widget%' OR lower(description) LIKE '%widget%'
   OR lower(namespace) LIKE '%widget%'""")
 def _(spark, sf):
-    found = C.substring_search(
-        assets(spark, sf), ["name", "description", "namespace"], "Widget", ["name"], limit=None
-    )
+    found = C.substring_search(assets(spark, sf), ["name", "description", "namespace"], "Widget", ["name"])
     return found.select("asset_id", "name")
 
 

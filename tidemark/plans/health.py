@@ -131,13 +131,13 @@ def _(spark, sf):
 
 @query("select_newest", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
 def _(spark, sf):
-    return H.select_or_count(view(spark, sf, "orders"), ["o_orderkey", "o_orderdate"], "o_orderdate")
+    return H.select_or_count(view(spark, sf, "orders"), ["o_orderkey", "o_orderdate"], "o_orderdate", limit=100)
 
 
 @query("capped_result", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, event_type, user_id LIMIT 200")
 def _(spark, sf):
     grouped = H.group_count(view(spark, sf, "events"), ["event_type", "user_id"])
-    return H.capped(grouped.orderBy(F.col("n").desc(), "event_type", "user_id"))
+    return H.capped(grouped.orderBy(F.col("n").desc(), "event_type", "user_id"), 200)
 
 
 @query("distinct_top_values", """
