@@ -117,9 +117,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame
             if parts is not None:
                 yield parts
 
-        # fewer, longer tasks: each hands on at most k rows per query
-        tasks = max(200, 4 * spark.sparkContext.defaultParallelism)
-        return _merge(corpus.select("item_id", "owner_id", "vec").coalesce(tasks).mapInPandas(scan, RESULT), k)
+        # each task hands on at most k rows per query
+        return _merge(corpus.select("item_id", "owner_id", "vec").mapInPandas(scan, RESULT), k)
     sent = _small(corpus)
     if sent is not None:
         items = np.asarray([r["item_id"] for r in sent], np.int64)
