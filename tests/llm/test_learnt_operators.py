@@ -85,6 +85,22 @@ def test_packing_round_trip(spark, odd, docs):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_packed_ids_are_those_of_the_texts(spark):
+    library = subwords.tokenizer(subwords.vocabulary_path("byte_bpe_50k.json"))
+    # one doc_id as a whole copy and as a cut one under the same piece
+    texts = [(1, "a long text of some words " * 400), (1, "a long text of some words " * 400), (1, "a long text of some words"), (2, None), (3, "é漢😀 über")]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    whole = [(d, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in texts]
+    want = Counter()
+    for d, ids in whole:
+        first = len(ids) % 1024 or 1024
+        for k, end in enumerate(range(first, len(ids) + 1, 1024)):
+            want[(d, k, tuple(ids[max(0, end - (1024 if k else first)) : end]))] += 1
+    got = [(r.doc_id, r.piece, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in rows]
+    assert Counter(got) == want
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+
+
 def test_hot_length_is_ranked_in_ranges(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANGE_ROWS", 7)
     df = spark.createDataFrame([(i, "same text " * 60 if i % 3 else "other") for i in range(200)], "doc_id bigint, text string")

@@ -57,12 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a frame that is read several times to a table in the shared folder.
 
     Columnar and sized, so later readers prune columns and Catalyst knows what it
     may broadcast; a lost executor costs a read and not the work behind it.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
