@@ -76,6 +76,26 @@ def test_lines_of_many_documents_are_lost(spark):
     assert {got[200 + i].n_frequent_words for i in range(24)} == {0}  # one document short of the limit on this host
 
 
+def test_frequent_lines_are_removed_and_the_rest_is_judged(spark):
+    def own(i, n):
+        return " ".join(f"{chr(97 + i % 26) * (1 + i // 26)}{chr(97 + j % 26)}" for j in range(n))
+
+    banner = "Shared banner of seventeen words " + "and so on " * 4
+    few = [(i, f"{own(i, 8)}\n\n{banner}", "a") for i in range(20)]  # 25 words, 17 of them shared
+    many = [(100 + i, f"{banner}\n  {own(i, 30)} \nlast", "a") for i in range(5)]
+    rest = [(200, banner, "b"), (201, None, "a"), (202, "", None)]
+    docs = spark.createDataFrame(few + many + rest, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in line_rules.clean(clashing(docs, "row", "line", "base", "gone", "kept", "left", "doc")).collect()}
+    assert len(got) == len(few + many + rest) and got[0].row == "x"
+    for i in range(20):
+        assert got[i].text == f"{own(i, 8)}\n" and got[i].n_words_left == 8 and not got[i].kept
+    for i in range(5):
+        assert got[100 + i].text == f"  {own(i, 30)} \nlast" and got[100 + i].n_words_left == 31 and got[100 + i].kept
+    assert got[200].text == banner and got[201].text is None and got[202].text == ""
+    judged = {r.doc_id: r for r in line_rules.judge(docs).collect()}
+    assert all(judged[d].n_words - judged[d].n_frequent_words == got[d].n_words_left for d in got)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert line_rules.judge(none).collect() == []

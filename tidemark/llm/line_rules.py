@@ -3,7 +3,8 @@
 A line is normalised (lower case, digits to one 0, white space to one space), hashed
 together with its host, and counted once for each document that holds it. Lines of
 ``max_docs`` documents or more are boilerplate; a document that loses more than
-``max_lost`` percent of its words with them is depleted and rejected.
+``max_lost`` percent of its words with them is depleted and rejected. ``clean`` removes
+those lines and judges what is left; ``judge`` gives the counts and the verdict of the check SQL.
 """
 
 from __future__ import annotations
@@ -100,49 +101,101 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return held.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= max_docs).select("line")
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
-    """Base counts, words lost with frequent lines, and the verdict, one row per row of ``docs``.
+def placed_lines(text: Column) -> Column:
+    """The lines of a text that have a word, each with its place among all lines."""
+    every = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x, at: F.struct(x.alias("line"), at.alias("at")))
+    return F.filter(every, lambda x: x["line"].rlike(WORD))
 
-    Needs doc_id, text and source; other columns are ignored. A null text has no words
-    and fails the base rule; a null source is a host of its own; rows that repeat are
-    documents of their own and count as such; an empty table gives an empty result.
+
+def without(text: Column, gone: Column) -> Column:
+    """A text without the lines at the places ``gone``; all other lines stay as they are and in order."""
+
+    def rest(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(places, lambda at: F.get(lines, at)), "\n")
+
+    return F.when(F.size(gone) == 0, text).otherwise(let(F.split(text, "\n", -1), rest))
+
+
+def losses(docs: DataFrame, carried: list[str], max_docs: int) -> DataFrame:
+    """``doc`` (the ``carried`` columns), ``base``, ``n_frequent_words`` and ``gone`` (places of frequent lines), one row per row of ``docs``.
 
     The frequent lines are stored once, so Spark knows their size: it broadcasts them
     below its own threshold, else both sides of the join are shuffled and AQE splits the
-    partition of a hot line. Counts travel with the first entry of a document only.
+    partition of a hot line. Counts and carried columns travel with the first entry of a document only.
     """
     frequent = settle(frequent_lines(docs, max_docs), "frequent-lines").withColumn("frequent", F.lit(True))
-    rows = docs.select("doc_id", "text", "source").select(
+    rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        "doc_id",
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc"),
         base_counts(F.col("text")).alias("base"),
         F.transform(
-            text_lines(F.col("text")),
-            lambda x: F.struct(line_key(F.col("source"), x).alias("line"), word_count(x).alias("words")),
+            placed_lines(F.col("text")),
+            lambda x: F.struct(line_key(F.col("source"), x["line"]).alias("line"), word_count(x["line"]).alias("words"), x["at"].alias("at")),
         ).alias("lines"),
     )
-    head = F.struct(F.col("doc_id"), F.col("base"))
+    head = F.struct(F.col("doc"), F.col("base"))
     none = F.lit(None).cast(rows.select(head.alias("h")).schema["h"].dataType)
+    first = F.struct(
+        F.xxhash64("row").alias("line"), F.lit(0).cast("long").alias("words"), F.lit(None).cast("int").alias("at"), head.alias("head")
+    )
     entries = F.concat(
-        F.array(F.struct(F.xxhash64("row").alias("line"), F.lit(0).cast("long").alias("words"), head.alias("head"))),
-        F.transform(F.col("lines"), lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), none.alias("head"))),
+        F.array(first),
+        F.transform(
+            F.col("lines"), lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), x["at"].alias("at"), none.alias("head"))
+        ),
     )
-    lost = (
+    return (
         rows.select("row", F.explode(entries).alias("e"))
-        .select("row", "e.line", "e.words", "e.head")
+        .select("row", "e.line", "e.words", "e.at", "e.head")
         .join(frequent, "line", "left")
         .groupBy("row")
         .agg(
             F.first("head", ignorenulls=True).alias("head"),
             F.coalesce(F.sum(F.when(F.col("frequent"), F.col("words"))), F.lit(0)).alias("n_frequent_words"),
+            F.collect_list(F.when(F.col("frequent"), F.col("at"))).alias("gone"),
         )
-        .select("head.doc_id", "head.base.*", "n_frequent_words")
+        .select("head.doc", "head.base", "n_frequent_words", "gone")
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+
+
+def fails(n_words: Column, n_repeat_words: Column) -> Column:
+    """True where the base rules reject a text."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words)
+
+
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
+    """Base counts, words lost with frequent lines, and the verdict on the whole text, one row per row of ``docs``.
+
+    Needs doc_id, text and source; other columns are ignored. A null text has no words
+    and fails the base rule; a null source is a host of its own; rows that repeat are
+    documents of their own and count as such; an empty table gives an empty result.
+    ``clean`` removes the lines and judges what is left.
+    """
+    lost = losses(docs.select("doc_id", "text", "source"), ["doc_id"], max_docs).select("doc.doc_id", "base.*", "n_frequent_words")
+    failed = fails(F.col("n_words"), F.col("n_repeat_words"))
     depleted = 100 * F.col("n_frequent_words") > max_lost * F.col("n_words")
     return lost.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
+def clean(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
+    """``docs`` with their frequent lines removed from text, and n_words_left and kept (both replaced if there).
+
+    Rows, other columns and the remaining lines stay as they are. A document is kept if its
+    whole text and what is left of it pass the base rules and it lost no more than ``max_lost`` percent of its words.
+    """
+    others = [c for c in docs.columns if c not in ("n_words_left", "kept")]
+    rest = losses(docs, others, max_docs).withColumn("left", without(F.col("doc.text"), F.col("gone")))
+    counted = rest.withColumn("now", base_counts(F.col("left")))
+    words, left = F.col("base.n_words"), F.col("now.n_words")
+    failed = fails(words, F.col("base.n_repeat_words")) | fails(left, F.col("now.n_repeat_words"))
+    return counted.select(
+        *[F.col("left").alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in others],
+        left.alias("n_words_left"),
+        (~failed & ~(100 * (words - left) > max_lost * words)).alias("kept"),
+    )
+
+
 CHECK = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source FROM documents),
 tok AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
