@@ -259,6 +259,23 @@ def test_forest_on_odd_vectors(spark, monkeypatch):
     assert ann_forest.search(none, none).collect() == []
 
 
+def test_forest_finds_neighbours_beside_repeats_and_in_small_widths(spark):
+    rng = np.random.default_rng(5)
+    near = [(i, [1.0, 0.01 * i, 0.0]) for i in range(1, 8)]
+    repeats = [(1, near[0][1])] * 40 + [(2, [1.0, 0.001 * i, 0.001]) for i in range(40)]  # equal rows, and one id with many vectors
+    small = [(1000 * w + i, rng.normal(size=w).tolist()) for w in range(4, 24) for i in range(2 + w % 3)]
+    middle = [(50_000 + i, rng.normal(size=30).tolist()) for i in range(40)]
+    df = spark.createDataFrame(near + repeats + small + middle, "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann_forest.search(df, df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got[7] == [6, 5, 4, 2, 3]  # the best vector of id 2 lies between those of 4 and 3
+    for w in range(4, 24):
+        ids = [1000 * w + i for i in range(2 + w % 3)]
+        assert all(sorted(got[i]) == [j for j in ids if j != i] for i in ids)
+    assert all(len(set(got[i])) == 5 for i, _ in middle)
+
+
 # --- language models ------------------------------------------------------------------------------
 
 

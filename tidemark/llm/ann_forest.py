@@ -4,7 +4,7 @@ Each tree parts a bounded sample at the median of a random projection, again and
 every vector is then sent to its leaf in every tree. A query walks all trees at once: one
 priority queue holds the open nodes of the whole forest, ordered by the smallest distance
 to a boundary on the way there, and hands out leaves until the budget of leaves is used
-up. The vectors of those leaves are the candidates, ranked by their exact cosine.
+up and they hold enough different ids. The vectors of those leaves are the candidates, ranked by their exact cosine.
 
 Leaves are counted first. A leaf of over twice the mean size, as a vector that a third of all rows share
 would make it, or of more than ``PART_ROWS`` vectors is dealt over several tasks, and queries visit all its
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import settle
+
 from .registry import register
 
 TREES = 4
@@ -37,8 +39,6 @@ LEAST_PART = 256
 PLACE = ["width", "tree", "leaf"]
 QUERY_EVERY = 50
 K = 5
-#: Different lengths of vectors in one table.
-WIDTHS = 16
 #: Candidates scored at once for the queries of a leaf.
 SCORED = 1 << 22
 
@@ -103,8 +103,14 @@ def leaf_of(nodes: list, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def visited(forest: list[list], vector: np.ndarray, budget: int) -> list[tuple[int, int]]:
-    """The (tree, leaf) that a unit vector visits: one queue over all trees, nearest boundary first."""
+def visited(
+    forest: list[list], vector: np.ndarray, budget: int, heads: dict[tuple[int, int], tuple] | None = None, own: int | None = None, k: int = 0
+) -> list[tuple[int, int]]:
+    """The (tree, leaf) that a unit vector visits: one queue over all trees, nearest boundary first.
+
+    At least ``budget`` leaves, and on until they hold ``k`` different ids besides ``own`` or none is left. ``heads``
+    has ``k + 1`` ids of each leaf, or all if there are fewer, which settles that exactly.
+    """
     margins = []
     for nodes in forest:
         inner = [n for n in nodes if n is not None]
@@ -112,11 +118,15 @@ def visited(forest: list[list], vector: np.ndarray, budget: int) -> list[tuple[i
         margins.append([None if n is None else float(next(along)) for n in nodes])
     queue = [(-np.inf, t, 0) for t in range(len(forest))]
     found = []
-    while queue and len(found) < budget:
+    covered: set = set()
+    while queue and (len(found) < budget or len(covered) < k):
         worst, t, name = heapq.heappop(queue)
         node = forest[t][name]
         if node is None:
             found.append((t, name))
+            if len(covered) < k:
+                covered.update(heads.get((t, name), ()))
+                covered.discard(own)
             continue
         margin = margins[t][name]
         heapq.heappush(queue, (max(worst, -margin), t, node[3]))
@@ -125,25 +135,29 @@ def visited(forest: list[list], vector: np.ndarray, budget: int) -> list[tuple[i
 
 
 def best_of_leaf(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` candidates of one part of a leaf with the largest cosine, for each query that visits it."""
+    """The ``k`` candidates (different ids) of one part of a leaf with the largest cosine, for each query that visits it."""
     out = []
     if len(vectors) and len(queries):
         ids = vectors["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         base = unit(np.stack(vectors["embedding"].to_numpy())[order])
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         asked = queries["query_id"].to_numpy()
         points = unit(np.stack(queries["embedding"].to_numpy()))
         step = max(1, SCORED // len(ids))
         for a in range(0, len(asked), step):
             score = points[a : a + step] @ base.T
             score[asked[a : a + step][:, None] == ids[None, :]] = -np.inf
-            for i, s in enumerate(score, a):
-                # rounding may part equal vectors by a hair: everything near the k-th stays for the exact ranking
-                least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+            by_id = np.maximum.reduceat(score, starts, axis=1) if len(starts) < len(ids) else score
+            for i, (s, top) in enumerate(zip(score, by_id, strict=True), a):
+                # rounding may part equal vectors by a hair: everything near the k-th id stays for the exact ranking
+                least = np.partition(top, -k)[-k] if len(top) > k else -np.inf
                 near = np.flatnonzero(s >= least - 1e-9) if np.isfinite(least) else np.flatnonzero(np.isfinite(s))
                 exact = (base[near] * points[i]).sum(axis=1)
-                best = np.lexsort((ids[near], -exact))[:k]
+                order = np.lexsort((ids[near], -exact))
+                _, first = np.unique(ids[near][order], return_index=True)
+                best = order[np.sort(first)][:k]
                 out.append(pd.DataFrame({"query_id": asked[i], "vec_id": ids[near[best]], "score": exact[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
@@ -171,10 +185,10 @@ def search(
     are one candidate, as near as the nearest of them; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows, asked = usable(vectors), usable(queries)
-    widths = [r["width"] for r in rows.select("width").distinct().limit(WIDTHS + 1).collect()]
-    if len(widths) > WIDTHS:
-        raise ValueError(f"vectors of more than {WIDTHS} widths")
+    # repeats are one candidate; all copies would be dealt to one part of a leaf
+    rows = settle(usable(vectors).dropDuplicates(["vec_id", "embedding"]), "vectors")
+    asked = usable(queries).dropDuplicates(["vec_id", "embedding"])
+    widths = [r["width"] for r in rows.select("width").distinct().collect()]
     rng = np.random.default_rng(seed)
     forests = {}
     for width in sorted(widths):
@@ -207,6 +221,27 @@ def search(
                         ["width", "tree", "leaf", "vec_id", "embedding"],
                     )
 
+    def to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for w, at, points in numbered(batch):
+                for t, nodes in enumerate(shared.value[w]):
+                    pairs = np.unique(np.stack([leaf_of(nodes, points), ids[at]]), axis=1)
+                    leaf, vec = pairs
+                    nth = np.arange(len(leaf)) - np.searchsorted(leaf, leaf)
+                    leaf, vec = leaf[nth <= k], vec[nth <= k]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(leaf), x, np.int32)) for x in (w, t)] + [pa.array(leaf.astype(np.int32)), pa.array(vec)],
+                        ["width", "tree", "leaf", "vec_id"],
+                    )
+
+    nth = F.row_number().over(Window.partitionBy(*PLACE).orderBy("vec_id"))
+    first_ids = rows.mapInArrow(to_heads, "width int, tree int, leaf int, vec_id bigint").distinct().withColumn("nth", nth)
+    held_ids: dict[int, dict[tuple[int, int], tuple]] = {w: {} for w in widths}
+    for r in first_ids.where(F.col("nth") <= k + 1).groupBy(*PLACE).agg(F.collect_list("vec_id").alias("ids")).collect():
+        held_ids[r["width"]][r["tree"], r["leaf"]] = tuple(r["ids"])  # k + 1 ids a leaf at most
+    shared_heads = spark.sparkContext.broadcast(held_ids)
+
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, at, points in numbered(batch):
@@ -214,8 +249,9 @@ def search(
                     continue
                 forest = shared.value[w]
                 budget = max(1, round(visit * sum(n is None for nodes in forest for n in nodes)))
+                heads = shared_heads.value[w]
                 for i, point in zip(at, points, strict=True):
-                    found = visited(forest, point, max(budget, len(forest)))
+                    found = visited(forest, point, max(budget, len(forest)), heads, batch.column(0)[int(i)].as_py(), k)
                     one = batch.take(pa.array([i] * len(found)))
                     tree, leaf = (pa.array(x, pa.int32()) for x in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays(
