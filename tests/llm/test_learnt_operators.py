@@ -381,3 +381,14 @@ def test_languages_of_held_out_documents(spark, sf_dir):
     assert odd[4].lang_pred == odd[5].lang_pred != "und" and 0 < odd[7].score <= 1
     assert byte_language.identify(docs.where("doc_id < 0")).collect() == []
     assert {r.lang_pred for r in byte_language.identify(docs.withColumn("lang", F.lit(None).cast("string")).limit(5)).collect()} == {"und"}
+
+
+def test_every_language_is_a_class(spark):
+    # 80 languages, the rare ones last; more than LANGUAGES of them
+    rows = [(100 * n + i, f"w{n:02d} " * 5, f"l{n:02d}") for n in range(80) for i in range(3 if n < 70 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = byte_language.training_windows(docs).collect()
+    assert Counter(r.lang for r in found) == Counter(r[2] for r in rows)
+    fewer = Counter(r.lang for r in byte_language.training_windows(docs, per_language=2, languages=40).collect())
+    assert set(fewer) == {r[2] for r in rows} and max(fewer.values()) == 1
+    assert len(byte_language.train(docs)[0]) == 80

@@ -3,8 +3,8 @@
 The network reads windows of a text's bytes in both directions, labels every position with
 a distribution over the learnt languages, and a document's distribution is the mean over
 all its positions. It is trained in numpy by backpropagation through time on a bounded
-sample: ``PER_LANGUAGE`` windows of each of at most ``LANGUAGES`` languages, one window a
-document, picked by hash over all labelled documents and over the whole length of a text.
+sample: ``PER_LANGUAGE`` windows of each language, fewer where there are more than ``LANGUAGES``
+of them, one window a document, picked by hash over all labelled documents and over the whole length of a text.
 """
 
 from __future__ import annotations
@@ -215,8 +215,9 @@ def pooled(network: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, steps: int = STEPS) -> DataFrame:
-    """(lang, bytes): for each of the most frequent languages one window of each of ``per_language`` documents.
+    """(lang, bytes): for every language one window of each of ``per_language`` documents.
 
+    Above ``languages`` languages each has fewer, one at least, so that all have about ``per_language * languages`` together.
     Documents are picked by the hash of id and text, the window's place by another hash over the whole text.
     """
     labelled = docs.where("lang is not null and text is not null").where(F.length("text") > 0)
@@ -224,19 +225,21 @@ def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE, language
     latest = F.greatest(F.octet_length("text") - steps, F.lit(0)) + 1
     place = (F.pmod(F.xxhash64(F.lit("place"), "doc_id", "text"), latest) + 1).cast("int")
     one = labelled.select("lang", F.xxhash64("doc_id", "text").alias("pick"), F.substring(raw, place, F.lit(steps)).alias("bytes"))
-    ranked = one.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).where(F.col("nth") <= per_language)
-    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    return ranked.join(known, "lang", "left_semi").select("lang", "bytes", "pick")
+    known = labelled.select("lang").distinct().count()
+    most = max(1, per_language * languages // max(known, languages))
+    ranked = one.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).where(F.col("nth") <= most)
+    return ranked.select("lang", "bytes", "pick")
 
 
 def train(docs: DataFrame, **how) -> tuple[list[str], Network | None]:
     """Languages and network learnt from the labelled rows of ``docs``; no network without labels."""
-    rows = sorted(training_windows(docs, **how).collect(), key=lambda r: (r["lang"], r["pick"]))  # PER_LANGUAGE * LANGUAGES at most
+    rows = sorted(training_windows(docs, **how).collect(), key=lambda r: (r["lang"], r["pick"]))  # PER_LANGUAGE * LANGUAGES, or one a language
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return [], None
     x, owner, size = windows([bytes(r["bytes"]) for r in rows])
-    label = np.array([languages.index(r["lang"]) for r in rows])[owner]
+    number = {lang: i for i, lang in enumerate(languages)}
+    label = np.array([number[r["lang"]] for r in rows])[owner]
     network = Network(len(languages))
     valid = (np.arange(len(x))[:, None] < size[None, :]).astype(np.float32)[:, :, None]
     network.fit(x.astype(np.int64), label, valid)
