@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.operators.quality import checks as C
 from tidemark.operators.quality import history as Q
 from tidemark.operators.quality import profile as P
@@ -230,3 +231,12 @@ def test_rules_that_do_not_fit_a_type_become_error_rows(people):
     rules = [("email", "non_negative"), ("amount", "email_validation"), ("amount", "not_future"), ("email", "not_null")]
     got = {(r.column, r.rule): r.status for r in K.rule_violations(people, "people", NOW, rules).collect()}
     assert got == dict.fromkeys(rules[:3], "error") | {rules[3]: "fail"}  # 12.5 % nulls, limits 1 and 10
+
+
+def test_defects_of_lines_without_an_order(spark, sf_dir, tmp_path):
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    one = lines.limit(1).withColumns({"l_linenumber": F.lit(9).cast(lines.schema["l_linenumber"].dataType), "l_extendedprice": F.lit(200000.0)})
+    one.write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.limit(0).write.parquet(f"{tmp_path}/orders.parquet")
+    found = entry.queries()["expected_defects"](spark, str(tmp_path))
+    assert rows(found, "check") == [("amount_above_100k",), ("line_out_of_range",)]
