@@ -159,3 +159,18 @@ def test_impact_walks_a_long_chain_to_its_end(spark):
     attrs = spark.createDataFrame([("n15", "x")], "node string, owner string")
     assert L.impact(edges, "n0", attrs).count() == 15
     assert L.impact(edges, "n0", attrs, down=4).count() == 4
+
+
+def test_other_widths_change_no_result(spark, monkeypatch):
+    _, _, queries, corpus = vector_frames(spark, 12, 90)
+    odd = spark.createDataFrame([(900, 900, [1.0] * 9), (901, 901, [1.0]), (902, 902, None), (903, 903, [])], corpus.schema)
+    mixed = corpus.unionByName(odd)
+    want = rows(V.vector_topk(queries, corpus, 4))
+    for n in (1, 3, 7):
+        assert rows(V.vector_topk(queries, mixed.repartition(n), 4)) == want
+    asked = queries.unionByName(spark.createDataFrame([(77, [1.0, 1.0]), (78, None)], queries.schema))
+    missed = V.nearest(asked, mixed.repartition(3), -1.0).where("query_id in (77, 78)")
+    assert rows(missed) == [(77, None, 0.0, False), (78, None, 0.0, False)]
+    assert rows(V._merge(V._grid(asked, mixed, 4, 5, 40), 4)) == want
+    monkeypatch.setattr(V, "SENT_ROWS", 0)
+    assert rows(V.vector_topk(asked, mixed.repartition(3), 4)) == want

@@ -30,16 +30,21 @@ RESULT = "query_id long, item_id long, owner_id long, similarity double"
 
 
 def _matrix(column) -> np.ndarray:
-    """Unit rows of a list column; empty and zero vectors stay zero."""
-    width = max((0 if v is None else len(v) for v in column), default=0)
-    out = np.zeros((len(column), max(width, 1)))
-    for i, v in enumerate(column):
-        if v is not None and len(v) == width:
-            out[i] = v
+    """Unit rows of vectors of one width; zero vectors stay zero."""
+    out = np.array([np.asarray(v, np.float64) for v in column])
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
+def _by_width(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Positions and unit rows of the vectors of each width; null and empty vectors match nothing."""
+    at: dict[int, list[int]] = {}
+    for i, v in enumerate(column):
+        if v is not None and len(v):
+            at.setdefault(len(v), []).append(i)
+    return {w: (np.asarray(held), _matrix([column[i] for i in held])) for w, held in at.items()}
+
+
 def _best(scores: np.ndarray, items: np.ndarray, owners: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best owners of one query: score down, owner up, item up;
     each owner once, by its best item."""
@@ -74,6 +79,15 @@ def _block_topk(qids, q, items, owners, c, k) -> pd.DataFrame:
     )
 
 
+def _matches(qids, q, items, owners, c, k) -> pd.DataFrame:
+    """Top k of every query against the corpus rows of its own width."""
+    qids, found = np.asarray(qids, np.int64), []
+    for width in q.keys() & c.keys():
+        (asked, left), (held, right) = q[width], c[width]
+        found.append(_block_topk(qids[asked], left, items[held], owners[held], right, k))
+    return pd.concat(found) if found else _block_topk([], np.empty((0, 1)), np.empty(0), np.empty(0), np.empty((0, 1)), k)
+
+
 def _merge(found: DataFrame, k: int) -> DataFrame:
     """Best item per (query, owner), then the k best owners per query."""
     order = F.struct(-F.col("similarity"), F.col("item_id"))
@@ -95,7 +109,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame
     """k nearest owners per query by cosine, each by its best vector.
 
     ``queries`` has (query_id long, vec), ``corpus`` (item_id long, owner_id long,
-    vec); filter the corpus by type beforehand. Ties go to the smaller owner id.
+    vec); filter the corpus by type beforehand. Ties go to the smaller owner id. Vectors
+    meet those of their own width only, however the rows are dealt.
     """
     spark = queries.sparkSession
     sent = _small(queries)
@@ -103,15 +118,15 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame
         if not sent:
             return spark.createDataFrame([], RESULT)
         ids = [r["query_id"] for r in sent]
-        shared = spark.sparkContext.broadcast((ids, _matrix([r["vec"] for r in sent])))
+        shared = spark.sparkContext.broadcast((ids, _by_width([r["vec"] for r in sent])))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, q = shared.value
             parts = None
             for b in batches:
                 if len(b):
-                    got = _block_topk(
-                        qids, q, b["item_id"].to_numpy(), b["owner_id"].to_numpy(), _matrix(b["vec"].tolist()), k
+                    got = _matches(
+                        qids, q, b["item_id"].to_numpy(), b["owner_id"].to_numpy(), _by_width(b["vec"].tolist()), k
                     )
                     parts = got if parts is None else _trim(pd.concat([parts, got]), k)
             if parts is not None:
@@ -123,14 +138,14 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame
     if sent is not None:
         items = np.asarray([r["item_id"] for r in sent], np.int64)
         owners = np.asarray([r["owner_id"] for r in sent], np.int64)
-        shared = spark.sparkContext.broadcast((items, owners, _matrix([r["vec"] for r in sent])))
+        shared = spark.sparkContext.broadcast((items, owners, _by_width([r["vec"] for r in sent])))
 
         def lookup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             it, ow, c = shared.value
             for b in batches:
                 for at in range(0, len(b), BLOCK):
                     part = b.iloc[at : at + BLOCK]
-                    yield _block_topk(part["query_id"].tolist(), _matrix(part["vec"].tolist()), it, ow, c, k)
+                    yield _matches(part["query_id"].tolist(), _by_width(part["vec"].tolist()), it, ow, c, k)
 
         return queries.select("query_id", "vec").mapInPandas(lookup, RESULT)
     return _merge(_grid(queries, corpus, k), k)
@@ -149,7 +164,7 @@ def _grid(queries: DataFrame, corpus: DataFrame, k: int, q_block: int = SENT_ROW
     # a repeated row changes no result, but all its copies would hash to one block
     queries = queries.dropDuplicates(["query_id", "vec"])
     corpus = corpus.select("item_id", "owner_id", "vec").dropDuplicates()
-    width = max(1, len(queries.select("vec").first()["vec"] or ()))
+    width = max(1, corpus.agg(F.max(F.size("vec"))).first()[0] or 1)
     c_block = max(1, min(c_block, SENT_VALUES // width))
     n_q = max(1, math.ceil(queries.count() / q_block))
     n_c = max(1, math.ceil(corpus.count() / c_block))
@@ -164,20 +179,20 @@ def _grid(queries: DataFrame, corpus: DataFrame, k: int, q_block: int = SENT_ROW
     )
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _block_topk(
-            left["query_id"].tolist(), _matrix(left["vec"].tolist()),
-            right["item_id"].to_numpy(), right["owner_id"].to_numpy(), _matrix(right["vec"].tolist()), k,
+        return _matches(
+            left["query_id"].tolist(), _by_width(left["vec"].tolist()),
+            right["item_id"].to_numpy(), right["owner_id"].to_numpy(), _by_width(right["vec"].tolist()), k,
         )
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(cell, RESULT)
 
 
 def nearest(queries: DataFrame, stored: DataFrame, min_similarity: float = 0.92) -> DataFrame:
-    """The nearest stored vector of every query; a miss (null item) below the limit."""
-    best = vector_topk(queries, stored, 1)
-    hit = F.col("similarity") >= min_similarity
+    """The nearest stored vector of every query; a miss (null item) below the limit, or of similarity 0 without one of its width."""
+    best = queries.select("query_id").distinct().join(vector_topk(queries, stored, 1), "query_id", "left")
+    hit = F.coalesce(F.col("similarity") >= min_similarity, F.lit(False))
     return best.select(
-        "query_id", F.when(hit, F.col("item_id")).alias("item_id"), "similarity", hit.alias("hit")
+        "query_id", F.when(hit, F.col("item_id")).alias("item_id"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), hit.alias("hit")
     )
 
 
