@@ -7,6 +7,7 @@ subpackage.
 
 from . import (  # noqa: F401  each module registers its query
     ann_forest,
+    collocations,
     lattice_lm,
     line_rules,
     mixing,
