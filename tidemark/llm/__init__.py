@@ -8,6 +8,8 @@ subpackage.
 from . import (  # noqa: F401  each module registers its query
     ann_forest,
     collocations,
+    hard_negatives,
+    hash_tree,
     lattice_lm,
     line_rules,
     mixing,
