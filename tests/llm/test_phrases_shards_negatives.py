@@ -228,8 +228,11 @@ def test_negatives_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)
     df = clashing(df, "anchor", "width", "v", "rank", "tops")
     for blocks in ({}, {"block_rows": 20, "block_anchors": 3}):
+        # each cell in a task of its own, so both sides of a cell must be dealt alike
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(not blocks).lower())
         got = hard_negatives.mine(df, F.col("vec_id") % 10 == 0, **blocks).collect()
         assert Counter(map(tuple, got)) == plain_negatives(rows, 10)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert hard_negatives.mine(empty, F.col("vec_id") % 10 == 0).collect() == []
 

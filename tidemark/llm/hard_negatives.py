@@ -108,7 +108,7 @@ def _cells(rows: DataFrame, anchors: DataFrame, block_rows: int, block_anchors:
     sizes = rows.groupBy("width").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("row_blocks"))
     wanted = anchors.groupBy("width").agg(F.ceil(F.count("*") / block_anchors).cast("int").alias("anchor_blocks"))
     grid = settle(sizes.join(wanted, "width"), "negative-grid")  # one row a width
-    block = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n))
+    block = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")  # noqa: E731  keys of both sides have one type
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.join(grid, "width").withColumn("row_block", block(["vec_id", "v", "label"], "row_blocks")).withColumn("anchor_block", each("anchor_blocks"))
     right = anchors.join(grid, "width").withColumn("anchor_block", block(["anchor"], "anchor_blocks")).withColumn("row_block", each("row_blocks"))
