@@ -9,6 +9,7 @@ Two passes over the texts:
   ``least``, so every frequent phrase survives, and infrequent ones may;
 * the second pass counts the survivors exactly, words and not hashes. Tasks know the survivors by a
   Bloom filter of a fixed size; what it lets through by mistake is counted and falls out by its count.
+  Counts travel to the hash partitions in compressed blocks, one of each chunk and partition.
 
 Counters are keyed by 32 bits of a hash inside a partition. Phrases that share them are counted
 together in the first pass, which can only add survivors.
@@ -20,9 +21,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -270,7 +273,7 @@ def counted(docs: DataFrame, keys: DataFrame, mass: int, least: int, most: int,
                     there = before[places] >= 0 if n > 1 else np.ones(len(places), bool)
                     for bit in probes(own, bits):
                         there &= (held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                    places = places[there]
+                    places, own = places[there], own[there]
                     head = before[places] if n > 1 else part.lang[places]
                     _, first, number, times = np.unique(
                         head << 32 | part.code[places + n - 1], return_index=True, return_inverse=True, return_counts=True
@@ -279,21 +282,44 @@ def counted(docs: DataFrame, keys: DataFrame, mass: int, least: int, most: int,
                     before[places] = number
                     at = places[first]
                     spelt = [[part.vocabulary[c] for c in part.code[i : i + n].tolist()] for i in at.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([part.langs[i] for i in part.lang[at].tolist()], pa.binary()),
-                            pa.array([b" ".join(s) for s in spelt], pa.binary()),
-                            pa.array(np.full(len(at), n, np.int32)),
-                            pa.array(times.astype(np.int64)),
-                        ],
-                        ["lang", "phrase", "size", "f"],
-                    )
+                    langs = pa.array([part.langs[i] for i in part.lang[at].tolist()], pa.binary())
+                    phrases = pa.array([b" ".join(s) for s in spelt], pa.binary())
+                    found = pa.table([langs, phrases, pa.array(np.full(len(at), n, np.int32)), pa.array(times.astype(np.int64))], schema=COUNTS)
+                    yield _dealt(found, (own[first] >> np.uint64(32)).astype(np.int64))
 
-    found = _texts(docs).mapInArrow(count, "lang binary, phrase binary, size int, f long")
-    summed = found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    def merge(group: pa.Table) -> pa.Table:
+        total, waiting, rows = COUNTS.empty_table(), [], 0
+        for blob in [*group["counts"].to_pylist(), None]:
+            if blob:
+                waiting.append(pa.ipc.open_stream(blob).read_all())
+                rows += len(waiting[-1])
+            if not blob or rows > 1 << 20:
+                both = pa.concat_tables([total, *waiting]).group_by(COUNTS.names[:3]).aggregate([("f", "sum")])
+                total, waiting, rows = both.rename_columns(COUNTS.names).cast(COUNTS), [], 0
+        return total.filter(pc.greater_equal(total["f"], least))
+
+    blobs = _texts(docs).mapInArrow(count, "part long, counts binary")
+    summed = blobs.groupBy("part").applyInArrow(merge, "lang binary, phrase binary, size int, f long")
     return summed.withColumns({c: F.col(c).cast("string") for c in ("lang", "phrase")})
 
 
+COUNTS = pa.schema([("lang", pa.binary()), ("phrase", pa.binary()), ("size", pa.int32()), ("f", pa.int64())])
+
+
+def _dealt(found: pa.Table, part: np.ndarray) -> pa.RecordBatch:
+    """Counted phrases as one compressed block for each hash partition."""
+    order = np.argsort(part, kind="stable")
+    found, part = found.take(pa.array(order)), part[order]
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+    blocks = []
+    for a, b in pairwise(cuts):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, COUNTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(found.slice(a, b - a))
+        blocks.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(blocks, pa.binary())], ["part", "counts"])
+
+
 def _wide(value: Column | str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("decimal(19,0)")
 
