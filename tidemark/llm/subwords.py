@@ -1,26 +1,21 @@
-"""Public tokenizers inside tasks: loading, encoding with offsets, and encoding by cached pieces of text."""
+"""Public tokenizers inside tasks: loading, and encoding of whole texts."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces of text that one worker remembers, the first ones it meets, and their greatest length.
-CACHE_ENTRIES = 250_000
-CACHE_CHARS = 64
-#: New pieces encoded in one string.
-JOINED = 256
-#: Strings given to the library in one call.
-AT_ONCE = 16
+#: Characters encoded at once, about.
+BLOCK_CHARS = 1 << 15
 
-#: Text up to the next single space or line feed that stands between two other characters.
-_UNIT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S+)*(?:\s+\Z)?")
+_CUT = re.compile(r"\S[ \n](?=\S)")
+_BEYOND = re.compile("[^\x00-\u024f]")
 
 
 def vocabulary_path(name: str) -> str:
@@ -48,76 +43,82 @@ def piece_model(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def units(text: str) -> list[str]:
-    """A text cut before single spaces and line feeds between two characters that are no white space.
+def blocks(text: str, chars: int = BLOCK_CHARS) -> Iterator[str]:
+    """A text cut before single spaces and line feeds between two characters that are no white space, every ``chars`` characters or so.
 
     Byte-level vocabularies cut there whatever stands around: no word pattern holds white
     space after another character, and a single white space before a word never joins the
-    text before it. Encoding the units one by one gives the ids of the whole text.
+    text before it. Encoding the blocks one by one gives the ids of the whole text.
     """
-    words = text.split()
-    if len(text) - sum(map(len, words)) == len(words) - 1 and "\0" not in text:
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")  # no white space stands beside another
-    found = _UNIT.findall(text)
-    return found if sum(map(len, found)) == len(text) else [text]
-
-
-def _joins(unit: str) -> bool:
-    """True if a unit may follow another one that joins: then a token starts between them."""
-    return unit[0] in " \n" and not unit[1:2].isspace() and not unit[-1].isspace()
-
-
-class UnitEncoder:
-    """Token ids of whole texts by a byte-level .json vocabulary; units met before are not encoded again.
-
-    Ids are kept as bytes, four little-endian ones each. New units are encoded many in one
-    string and parted by the tokens' lengths in bytes, which a byte-level vocabulary fixes.
+    at = 0
+    while len(text) - at > chars and (cut := _CUT.search(text, at + chars)):
+        yield text[at : cut.start() + 1]
+        at = cut.start() + 1
+    yield text[at:]
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The ranks of a plain byte-level .json vocabulary whose merges stand in the order of their ids; None for any other."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    model, cut = given["model"], given["pre_tokenizer"] or {}
+    plain = model.get("type") == "BPE" and not given["normalizer"] and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges"))
+    if not plain or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex"):
+        return None
+    vocabulary, alphabet = model["vocab"], byte_alphabet()
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocabulary[x + y] for x, y in pairs]
+    if sorted(made) != made or len(vocabulary) != len(made) + 256 or set("".join(vocabulary)) - set(alphabet):
+        return None
+    return {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items()}
+
+
+class TextEncoder:
+    """Token ids of whole texts by a byte-level .json vocabulary, as the tokenizers library gives them.
+
+    Blocks of characters up to U+024F, which every Unicode version puts in the same classes, are encoded from
+    the vocabulary's ranks, several times faster; the library encodes the others, and all of a text that holds
+    one of its special strings.
     """
 
     def __init__(self, path: str):
-        self._encoder = tokenizer(path)
-        self._known: dict[str, bytes] = {}
-        self._length = np.zeros(self._encoder.get_vocab_size(), np.int64)
-        for token, i in self._encoder.get_vocab().items():
-            self._length[i] = len(token)  # a character stands for a byte
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for a in range(0, len(texts), AT_ONCE):  # the library's results take some hundred bytes a token
-            found = self._encoder.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in found]
-        return out
-
-    def _fresh(self, found: list[str]) -> dict[str, bytes]:
-        joining, alone = [], []
-        for u in found:
-            (joining if _joins(u) else alone).append(u)
-        out = dict(zip(alone, self._encode(alone), strict=True))
-        groups = [joining[a : a + JOINED] for a in range(0, len(joining), JOINED)]
-        for group, data in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
-            ends = np.cumsum(self._length[np.frombuffer(data, "<u4")])
-            sizes = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in group])
-            at = [0, *((np.searchsorted(ends, sizes) + 1) * 4).tolist()]
-            out.update((u, data[a:b]) for u, (a, b) in zip(group, pairwise(at), strict=True))
-        return out
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [units(t) if t else [] for t in texts]
-        known = self._known
-        now = self._fresh(list(set().union(*cut).difference(known)))
-        known.update(now)
-        out = [b"".join(map(known.__getitem__, found)) for found in cut]
-        full = len(known) > CACHE_ENTRIES
-        for u in now:
-            if full or len(u) > CACHE_CHARS:
-                del known[u]
+        self._library = tokenizer(path)
+        special = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, special))) if special else None
+        ranks = byte_ranks(path)
+        self._fast = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            self._fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _whole(self, text: str) -> list[int]:
+        return self._library.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str) -> list[int]:
+        if self._fast is None or (self._special and self._special.search(text)):
+            return self._whole(text)
+        out: list[int] = []
+        for block in blocks(text):
+            # a longer block has no place to cut, such as one endless word
+            plain = len(block) <= 2 * BLOCK_CHARS and (block.isascii() or not _BEYOND.search(block))
+            found = self._fast.encode_ordinary(block) if plain else self._whole(block)
+            out += found
         return out
 
 
 @lru_cache(maxsize=2)
-def unit_encoder(path: str) -> UnitEncoder:
+def text_encoder(path: str) -> TextEncoder:
     """One encoder for all tasks of a worker."""
-    return UnitEncoder(path)
+    return TextEncoder(path)
 
 
 def slices(texts: pa.Array, chars: int):

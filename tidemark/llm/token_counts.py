@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import subwords
 from .common import documents
 from .registry import register
 from .subwords import piece_model, slices, tokenizer, vocabulary_path
@@ -105,7 +106,8 @@ def text_encoder(path: str) -> tuple[Encode, Callable[[list[str]], list[int]]]:
         found = library.encode(text, add_special_tokens=False)
         return [s for s, _ in found.offsets], found.ids
 
-    return tokens, lambda texts: [len(e) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    whole = subwords.text_encoder(path)
+    return tokens, lambda texts: [len(whole.ids(t)) for t in texts]
 
 
 def count_tokens(
