@@ -40,14 +40,28 @@ def test_spliced_counts_equal_whole_counts(name):
             assert token_counts.count_spliced(text, encode, chunk, overlap) == want
 
 
-def test_units_give_the_ids_of_the_whole_text():
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_whole_text_ids_are_those_of_the_library(name, monkeypatch):
+    monkeypatch.setattr(subwords, "BLOCK_CHARS", 40)  # many cuts
     rng = random.Random(4)
-    texts = ["".join(rng.choices(PARTS, k=rng.randrange(60))) for _ in range(3000)] + ["", " ", "a\0 b", "a b\nc"]
-    path = subwords.vocabulary_path("byte_bpe_50k.json")
+    texts = ["".join(rng.choices(PARTS, k=rng.randrange(60))) for _ in range(2000)] + ["", " ", "a\0 b", "a b\nc", "x" * 500, " " * 300]
+    letters = "etaoinshrdlucmfwypvbgkqjxz'éßĄ 0"
+    texts += ["".join(rng.choices(letters, k=rng.randrange(200))) for _ in range(2000)]
+    for c in range(1, 0x250):
+        texts += [f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}  {chr(c)}'s", f"{chr(c)} {chr(c)}\n{chr(c)}"]
+    path = subwords.vocabulary_path(name)
     whole = [e.ids for e in subwords.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
-    encoder = subwords.UnitEncoder(path)
-    for _ in range(2):
-        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_batch(texts)] == whole
+    encoder = subwords.TextEncoder(path)
+    assert [encoder.ids(t) for t in texts] == whole
+    assert (encoder._fast is None) == (name != "byte_bpe_50k.json")
+
+
+def test_ranks_are_those_of_the_public_file():
+    import base64
+
+    with open(subwords.vocabulary_path("byte_bpe_50k.tiktoken"), "rb") as file:
+        public = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    assert subwords.byte_ranks(subwords.vocabulary_path("byte_bpe_50k.json")) == public
 
 
 def test_token_counts_of_odd_rows(spark, odd):
@@ -96,9 +110,10 @@ def test_packed_ids_are_those_of_the_texts(spark):
         first = len(ids) % 1024 or 1024
         for k, end in enumerate(range(first, len(ids) + 1, 1024)):
             want[(d, k, tuple(ids[max(0, end - (1024 if k else first)) : end]))] += 1
-    got = [(r.doc_id, r.piece, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in rows]
+    got = [(r.doc_id, r.piece, tuple(np.frombuffer(r.ids, "<u2").tolist())) for r in rows]
     assert Counter(got) == want
-    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    wide = [np.frombuffer(r.ids, "<u2").astype("<u4").tobytes() for r in rows]
+    assert all(len(w) == 4 * r.length and zlib.crc32(w) == r.ids_crc32 for r, w in zip(rows, wide, strict=True))
 
 
 def test_hot_length_is_ranked_in_ranges(spark, monkeypatch):
@@ -127,19 +142,72 @@ def fits(sizes, room):
     return False
 
 
+def sound(plan, sizes, capacity):
+    used = Counter()
+    for pattern, times in plan.patterns:
+        assert sum(x * n for x, n in pattern) <= capacity
+        for x, n in pattern:
+            used[x] += n * times
+    assert used == Counter(sizes)
+    assert plan.bins == sum(times for _, times in plan.patterns) >= plan.bound
+    return plan
+
+
 def test_plans_use_every_piece_and_reach_the_optimum_of_small_cases():
     rng = random.Random(2)
     for _ in range(60):
         sizes = [rng.randint(1, 60) for _ in range(rng.randint(1, 11))]
-        plan = packing.plan(Counter(sizes), 100)
-        used = Counter()
-        for pattern, times in plan:
-            assert sum(x * n for x, n in pattern) <= 100
-            for x, n in pattern:
-                used[x] += n * times
-        assert used == Counter(sizes)
-        assert sum(times for _, times in plan) == optimum(sizes, 100)
-    assert packing.plan({}, 100) == []
+        plan = sound(packing.plan(Counter(sizes), 100), sizes, 100)
+        assert plan.proven and plan.bins == optimum(sizes, 100)
+    assert packing.plan({}, 100).patterns == []
+
+
+def test_plans_of_up_to_thirty_pieces_are_the_best_ones():
+    rng = random.Random(7)
+    hard = [72, 71, 66, 64, 61, 61, 60, 58, 57, 56, 55, 54, 53, 47, 42, 39, 38, 37, 30]
+    assert sound(packing.plan(Counter(hard), 150), hard, 150).bins == 7
+    for _ in range(150):
+        sizes = [rng.randint(20, 75) for _ in range(rng.randint(12, 30))]
+        plan, best = (sound(packing.plan(Counter(sizes), 150, exact=e), sizes, 150) for e in (False, True))
+        assert best.proven and plan.bins == best.bins
+        assert not fits(sorted(sizes, reverse=True), [150] * (best.bins - 1)) if len(sizes) < 14 else True
+
+
+def test_fillings_are_all_that_no_other_one_dominates():
+    rng = random.Random(8)
+    for _ in range(60):
+        counts = Counter(rng.randint(1, 30) for _ in range(rng.randint(1, 8)))
+        space = rng.randint(1, 60)
+        lengths = sorted(counts)
+        every = [
+            dict(p) for p in {
+                tuple((x, n) for x, n in zip(lengths, ns, strict=True) if n)
+                for ns in itertools.product(*[range(counts[x] + 1) for x in lengths])
+            } if sum(x * n for x, n in p) <= space
+        ]
+
+        def gives_way(held):
+            items = list(Counter(held).elements())
+            left = space - sum(items)
+            for x in lengths:
+                if counts[x] > held.get(x, 0):  # noqa: B023
+                    for k in range(len(items) + 1):
+                        for some in itertools.combinations(items, k):
+                            if some != (x,) and x not in some and sum(some) <= x <= sum(some) + left:
+                                return True
+            return False
+
+        want = {(space - sum(x * n for x, n in p.items()), tuple(sorted(p.items(), reverse=True))) for p in every if not gives_way(p)}
+        got = list(packing.fillings(counts, space, space, packing.Budget(float("inf"))))
+        assert set(got) == want and len(got) == len(want)
+        assert [w for w, _ in got] == sorted(w for w, _ in got)
+
+
+def test_large_counts_stay_near_the_bound():
+    rng = random.Random(9)
+    sizes = Counter({x: rng.randint(1, 4000) for x in rng.sample(range(1, 1025), 700)})
+    plan = sound(packing.plan(sizes, 1024), sizes, 1024)
+    assert plan.bins <= 1.01 * plan.bound and plan.bins <= sum(n for _, n in packing.best_fit(sizes, 1024))
 
 
 # --- near duplicates ------------------------------------------------------------------------------
