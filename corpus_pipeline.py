@@ -20,25 +20,35 @@ LEAST_SCORE = 0.4
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, which is written to their lang."""
-    found = byte_language.identify(docs)
+    """Documents with a language, which is written to their lang.
+
+    Null texts, texts without a letter and those whose language is not sure go; if no row has a lang to
+    learn from, all go. Given columns stay as they are, also those that are called lang_pred or score.
+    """
+    aside = {c: f"given_{i}" for i, c in enumerate(docs.columns) if c in ("lang_pred", "score")}
+    found = byte_language.identify(docs.withColumnsRenamed(aside))
     sure = found.where((F.col("lang_pred") != byte_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return sure.withColumn("lang", F.col("lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = {"lang": F.col("lang_pred")} | {c: F.col(name) for c, name in aside.items()}
+    return sure.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, with all its columns; null and empty texts are one group."""
     return simhash_vp.first_of_each(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind; a null text stays null."""
     return pii.redact(docs)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of their sources ask for, the last one of a source cut; those of no words go."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their token ids in place of documents; of their columns, doc_id stays."""
     return packing.pack(docs)
 
 
