@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
+from tidemark.operators import mart_store
 from tidemark.operators import orders as O
 from tidemark.plans.registry import query
 from tidemark.plans.views import AS_OF, view, with_views
-from tidemark.session import settle
+from tidemark.session import scratch_path, settle
 
 
 def enriched(spark, sf):
@@ -193,6 +196,27 @@ def _(spark, sf):
     return mart(spark, sf)
 
 
+@query("mart_refresh", MART + "\nSELECT * FROM mart")
+def _(spark, sf):
+    """The mart stored up to a day, then the days from it on, then late orders of an old day: equal to the mart of all facts."""
+    path = scratch_path(spark, "mart")
+    facts = O.mart_input(view(spark, sf, "raw_orders"), view(spark, sf, "products"))
+    day, old = F.lit("2001-08-01").cast("date"), F.lit("2001-07-15").cast("date")
+    late = (F.col("order_date") == old) & (F.pmod(F.xxhash64("order_id"), F.lit(2)) == 0)
+    daily = settle(O.daily_base(facts), "daily-base")
+    listed = [r[0] for r in daily.select("report_date").distinct().collect()]
+    before = O.daily_base(facts.where((F.col("order_date") < day) & ~F.coalesce(late, F.lit(False))))
+    cut = date(2001, 8, 1)
+    for rows, days in (
+        (before, [d for d in listed if d < cut]),
+        (daily, [d for d in listed if d >= cut]),
+        (O.daily_base(facts, "2001-07-15"), ["2001-07-15"]),
+    ):
+        if days:
+            mart_store.refresh(path, rows, days, AS_OF)
+    return mart_store.read_mart(spark, path)
+
+
 @query("multi_key_inner_join", BASE + WINDOWED_SQL + f"""
 SELECT {_MART_COLS}
 FROM base b
