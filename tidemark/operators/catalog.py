@@ -297,6 +297,34 @@ def field_sets(fields: DataFrame) -> DataFrame:
     )
 
 
+def signatures(sets: DataFrame) -> DataFrame:
+    """Distinct field sets of each asset type: signature, the sorted names, how many assets have them and the first of those."""
+    named = sets.where(F.size("names") > 0).withColumn("signature", F.to_json(F.array_sort("names")))
+    return named.groupBy("asset_type", "signature").agg(
+        F.count(F.lit(1)).alias("n_assets"), F.min("asset_id").alias("first_id"), F.first(F.array_sort("names")).alias("names")
+    )
+
+
+def signature_overlap(sets: DataFrame, left: str, right: str) -> DataFrame:
+    """Every signature of type ``left`` with every one of type ``right`` that shares a name: first_left, first_right,
+    n_left and n_right assets, n_shared and shared. Equal field sets are one signature, so copies add no pairs;
+    signatures meet by shared names only.
+    """
+    known = signatures(sets)
+
+    def side(kind: str, tag: str) -> DataFrame:
+        own = known.where(F.col("asset_type") == kind)
+        return own.select(F.col("signature").alias(f"sig_{tag}"), F.explode("names").alias("name"))
+
+    pairs = side(left, "left").join(side(right, "right"), "name").groupBy("sig_left", "sig_right").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    for kind, tag in ((left, "left"), (right, "right")):
+        own = known.where(F.col("asset_type") == kind)
+        pairs = pairs.join(own.select(F.col("signature").alias(f"sig_{tag}"), F.col("first_id").alias(f"first_{tag}"), F.col("n_assets").alias(f"n_{tag}")), f"sig_{tag}")
+    return pairs.select(
+        "first_left", "first_right", "n_left", "n_right", F.size("names").alias("n_shared"), F.concat_ws(",", "names").alias("shared")
+    )
+
+
 def match_score(a, b) -> Column:
     """Shared names over the larger set; 0 if either is empty."""
     a, b = col_of(a), col_of(b)

@@ -257,18 +257,13 @@ def _(spark, sf):
     return H.union_assets(*parts).withColumn("name", N.strip_topic_suffix("name"))
 
 
-@query("set_overlap", with_views("asset_fields", extra=_SETS_SQL) + """
-SELECT a.asset_id AS topic_id, b.asset_id AS table_id, len(list_intersect(a.names, b.names)) AS n_shared,
+@query("set_overlap", with_views("asset_fields", extra=_SETS_SQL + """,
+sigs AS (SELECT asset_type, names, count(*) AS n, min(asset_id) AS first_id FROM sets GROUP BY asset_type, names)""") + """
+SELECT a.first_id AS first_left, b.first_id AS first_right, a.n AS n_left, b.n AS n_right, len(list_intersect(a.names, b.names)) AS n_shared,
   array_to_string(list_sort(list_intersect(a.names, b.names)), ',') AS shared
-FROM sets a JOIN sets b ON a.asset_type = 'kafka_topic' AND b.asset_type = 'iceberg_table' AND substr(a.asset_id, 2) = substr(b.asset_id, 2)""")
-def _(spark, sf):
-    sets = C.field_sets(fields(spark, sf)).withColumn("no", F.substring("asset_id", 2, 20))
-    a = sets.where(F.col("asset_type") == "kafka_topic").select("no", F.col("asset_id").alias("topic_id"), F.col("names").alias("a"))
-    b = sets.where(F.col("asset_type") == "iceberg_table").select("no", F.col("asset_id").alias("table_id"), F.col("names").alias("b"))
-    shared = H.overlap(F.col("a"), F.col("b"))
-    return a.join(b, "no").select(
-        "topic_id", "table_id", F.size(shared).alias("n_shared"), F.concat_ws(",", F.array_sort(shared)).alias("shared")
-    )
+FROM sigs a JOIN sigs b ON a.asset_type = 'kafka_topic' AND b.asset_type = 'iceberg_table' AND list_has_any(a.names, b.names)""")
+def _(spark, sf):
+    return C.signature_overlap(C.field_sets(fields(spark, sf)), "kafka_topic", "iceberg_table")
 
 
 @query("set_difference", with_views("asset_fields", extra=_SETS_SQL) + """

@@ -593,12 +593,10 @@ def _(spark, sf):
 
 
 @query("safe_literal", """
-SELECT event_id, CASE WHEN event_type = 'view' THEN 'it''s; -- a view' ELSE event_type END AS label FROM events
-WHERE event_type IN ('view', 'click')""")
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'it''s; -- a view' ELSE event_type END AS label FROM events""")
 def _(spark, sf):
     label = F.when(F.col("event_type") == S.safe_literal("view"), S.safe_literal("it's; -- a view")).otherwise(F.col("event_type"))
-    wanted = F.col("event_type").isin("view", "click")
-    return view(spark, sf, "events").where(wanted).select("event_id", label.alias("label"))
+    return view(spark, sf, "events").select("event_id", label.alias("label"))
 
 
 @query("trim_blank", with_views("signals") + "SELECT event_id, trim(note) = '' AS blank FROM signals")
