@@ -150,6 +150,30 @@ def _(spark, sf):
     return J.freshness(view(spark, sf, "events"), "ts", EVENTS_AS_OF, ["user_id"])
 
 
+@query("stream_freshness_live", """
+WITH w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' AS w FROM events),
+e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts), w) AS after, w
+      FROM (SELECT DISTINCT user_id, ts FROM events) x, w WHERE ts < w)
+SELECT user_id, ts AS at, 'pass' AS status FROM e WHERE before IS NULL OR ts > before + INTERVAL '1 hour'
+UNION ALL SELECT user_id, ts + INTERVAL '1 hour', 'warn' FROM e WHERE ts + INTERVAL '1 hour' < after
+UNION ALL SELECT user_id, ts + INTERVAL '5 hours', 'fail' FROM e WHERE ts + INTERVAL '5 hours' < after""")
+def _(spark, sf):
+    """The events in three arrivals, the stream started anew from its checkpoint for each."""
+    events = view(spark, sf, "events").select("user_id", "ts")
+    at = F.unix_micros("ts")
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    third = F.least(F.floor((at - low) * 3 / max(high - low, 1)), F.lit(2))
+    folder, out, checkpoint = (scratch_path(spark, n) for n in ("arrivals", "status", "status-cp"))
+    for i in range(4):  # the last start has no events, only the moved watermark
+        if i < 3:
+            events.where(third == i).write.mode("append").parquet(folder)
+        arrived = spark.readStream.schema(events.schema).parquet(folder)
+        J.live_status(arrived, "ts", "user_id").writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint
+        ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id bigint, at timestamp, status string").parquet(out)
+
+
 @query("stream_dedup", with_views("order_events") + "SELECT DISTINCT kafka_partition, kafka_offset FROM order_events")
 def _(spark, sf):
     timed = order_stream(spark, sf).withColumn("event_time", epoch_ms_time("event_timestamp")).select(

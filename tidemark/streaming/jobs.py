@@ -6,6 +6,7 @@ Transforms take and return frames and also run on batch input; only
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -162,6 +163,67 @@ def freshness(df: DataFrame, ts: str, as_of, by: list[str] | None = None, warn_h
     )
 
 
+LIVE_STATE = "last long, status string, waiting array<long>"
+
+
+def thinned(times: list[int], warn: int) -> list[int]:
+    """Sorted event times without those whose neighbours are ``warn`` apart at most: they part no two silences."""
+    out: list[int] = []
+    for t in times:
+        while len(out) > 1 and t - out[-2] <= warn:
+            out.pop()
+        if not out or t > out[-1]:
+            out.append(t)
+    return out
+
+
+def live_status(df: DataFrame, ts: str, by: str, warn_hours: float = 1.0, fail_hours: float = 5.0, delay: str = "10 minutes") -> DataFrame:
+    """(key, at, status) whenever a key's status changes: pass at an event, warn and fail when it has been silent so long.
+
+    State is kept for each key, with one event-time timer for what comes next, so a key that falls silent changes its status without an
+    event, once the watermark (the latest event less ``delay``) has passed the moment. Events that arrive out of order wait in the state
+    until the watermark has passed them; those without which no silence would look longer are not kept, so few wait
+    however many arrive. Null keys and times are left out.
+    """
+    warn, fail = (int(h * 3_600_000_000) for h in (warn_hours, fail_hours))
+    key_type = df.schema[by].dataType.simpleString()
+
+    def step(key, batches, state):
+        last, status, waiting = state.get if state.exists else (None, None, [])
+        waiting = [*waiting, *(t for b in batches for t in b["t"].tolist())]
+        now = state.getCurrentWatermarkMs() * 1000
+        waiting = thinned(sorted(waiting), warn)
+        out = []
+
+        def silence(until: int) -> None:
+            nonlocal status
+            for name, after, before in (("warn", warn, ("pass",)), ("fail", fail, ("pass", "warn"))):
+                if last is not None and status in before and last + after < until:
+                    status = name
+                    out.append((last + after, name))
+
+        for t in [t for t in waiting if t < now]:
+            silence(t)
+            if status != "pass":
+                status = "pass"
+                out.append((t, "pass"))
+            last = t
+        waiting = [t for t in waiting if t >= now]
+        silence(now)
+        state.update((last, status, waiting))
+        # the next moment at which something may change by time alone
+        moments = waiting[:1]
+        if last is not None and status in ("pass", "warn"):
+            moments.append(last + (warn if status == "pass" else fail))
+        if moments:
+            state.setTimeoutTimestamp(max(min(moments) // 1000 + 1, now // 1000 + 1))
+        yield pd.DataFrame({by: [key[0]] * len(out), "at": [t for t, _ in out], "status": [n for _, n in out]})
+
+    rows = df.where(F.col(by).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay).select(by, ts, F.unix_micros(ts).alias("t"))
+    changes = rows.groupBy(by).applyInPandasWithState(step, f"`{by}` {key_type}, at long, status string", LIVE_STATE, "append", "EventTimeTimeout")
+    return changes.withColumn("at", F.timestamp_micros("at"))
+
+
 def dedup(df: DataFrame, ts: str, keys: list[str], delay: str = "1 day") -> DataFrame:
     """One event per key within the watermark, state expiring with it."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
