@@ -45,6 +45,16 @@ def test_score_and_driver(people):
     assert K.worst_check(card, ["asset"]).first().column == "amount"
 
 
+def test_exact_card_reads_its_table_once(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    rows = [(i, i % 7 if i % 5 else None, -0.0 if i % 2 else 0.0, f"x{i % 3}") for i in range(200)]
+    spark.createDataFrame(rows, "order_id long, customer_id long, zero_key double, note string").write.parquet(path)
+    card = K.scorecard(spark.read.parquet(path), "orders", NOW, exact=True)
+    assert card._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    hits = {r.column: r.hits for r in card.where("check = 'uniqueness'").collect()}
+    assert hits == {"order_id": 200, "customer_id": 7, "zero_key": 1}
+
+
 def test_sketch_and_exact_agree_on_small_tables(people):
     a = K.scorecard(people, "c", NOW, exact=True)
     b = K.scorecard(people, "c", NOW, exact=False)

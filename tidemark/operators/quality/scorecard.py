@@ -21,7 +21,9 @@ def measure(df: DataFrame, table: str, as_of, ids: list[str], rules: list[tuple[
     """Counts of every check of a table in one aggregate, one row per check.
 
     Rows: kind, column, rule, total, non_null, hits (violations or distinct).
-    Tables wider than ``COLUMNS_PER_PASS`` are aggregated slice by slice.
+    Tables wider than ``COLUMNS_PER_PASS`` are aggregated slice by slice. Exact distinct counts are part of
+    the same scan: Catalyst turns them into (column, value) rows that every task combines
+    before they move, beside the one row of all other counts.
     """
     parts = []
     for at in range(0, len(df.columns), COLUMNS_PER_PASS):
@@ -39,22 +41,13 @@ def measure(df: DataFrame, table: str, as_of, ids: list[str], rules: list[tuple[
         for i, c in enumerate(cols):
             aggs.append(F.count(c).alias(f"nn_{i}"))
             row("completeness", c, "", F.col(f"nn_{i}"), F.col("total") - F.col(f"nn_{i}"))
-            if c in ids and not exact:
-                aggs.append(sketch_distinct(c).alias(f"ndv_{i}"))
+            if c in ids:
+                aggs.append((F.count_distinct(c) if exact else sketch_distinct(c)).alias(f"ndv_{i}"))
                 row("uniqueness", c, "", F.col(f"nn_{i}"), F.col(f"ndv_{i}"))
             for j, rule in enumerate(r for col, r in rules if col == c):
                 aggs.append(F.count_if(RULES[rule](F.col(c), as_of)).alias(f"v_{i}_{j}"))
                 row("validity", c, rule, F.col(f"nn_{i}"), F.col(f"v_{i}_{j}"))
         parts.append(df.agg(*aggs).select(F.lit(table).alias("asset"), F.inline(F.array(*rows))))
-    if exact:
-        # one single-column aggregate each: several exact distincts in one would copy every row per column
-        for c in [c for c in ids if c in df.columns]:
-            parts.append(
-                df.agg(F.count(F.lit(1)).alias("total"), F.count(c).alias("non_null"), F.count_distinct(c).alias("hits")).select(
-                    F.lit(table).alias("asset"), F.lit("uniqueness").alias("check"), F.lit(c).alias("column"),
-                    F.lit("").alias("rule"), "total", "non_null", "hits",
-                )
-            )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -97,8 +90,7 @@ def grade_scorecard(measured: DataFrame) -> DataFrame:
 def scorecard(df: DataFrame, table: str, as_of, mode: str = "token", exact: bool = False) -> DataFrame:
     """Completeness, uniqueness of id columns and inferred rules of a whole table.
 
-    One scan with approximate distinct counts; ``exact`` adds one single-column
-    aggregate per id column.
+    One scan, with approximate distinct counts or, if ``exact``, with exact ones.
     """
     ids = [c for c in df.columns if is_id_column(c)]
     return grade_scorecard(measure(df, table, as_of, ids, schema_rules(df, mode), exact))
