@@ -93,7 +93,20 @@ def test_frequent_lines_are_removed_and_the_rest_is_judged(spark):
         assert got[100 + i].text == f"  {own(i, 30)} \nlast" and got[100 + i].n_words_left == 31 and got[100 + i].kept
     assert got[200].text == banner and got[201].text is None and got[202].text == ""
     judged = {r.doc_id: r for r in line_rules.judge(docs).collect()}
-    assert all(judged[d].n_words - judged[d].n_frequent_words == got[d].n_words_left for d in got)
+    assert all(judged[d].n_words_left == judged[d].n_words - judged[d].n_frequent_words == got[d].n_words_left for d in got)
+    assert not any(judged[i].kept for i in range(20)) and all(judged[100 + i].kept for i in range(5))
+
+
+def test_copies_of_one_document_do_not_make_its_lines_frequent(spark):
+    def text(word):
+        return "\n".join(" ".join(f"{word}{chr(97 + i)}{chr(97 + j)}" for j in range(12)) for i in range(12))
+
+    once = [(1, text("a"), "s")] * 40 + [(None, text("b"), "s")] * 40
+    many = [(100 + i, text("c"), "s") for i in range(40)]
+    rows = line_rules.judge(spark.createDataFrame(once + many, "doc_id bigint, text string, source string")).collect()
+    assert len(rows) == 120
+    for r in rows:
+        assert r.kept == (r.doc_id is None or r.doc_id == 1), r
 
 
 def test_empty_tables(spark):

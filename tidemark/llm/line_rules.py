@@ -1,10 +1,10 @@
 """Quality rules: base counts of a text and lines that many documents of one host share.
 
 A line is normalised (lower case, digits to one 0, white space to one space), hashed
-together with its host, and counted once for each document that holds it. Lines of
-``max_docs`` documents or more are boilerplate; a document that loses more than
-``max_lost`` percent of its words with them is depleted and rejected. ``clean`` removes
-those lines and judges what is left; ``judge`` gives the counts and the verdict of the check SQL.
+together with its host, and counted once for each distinct document that holds it. Lines of
+``max_docs`` documents or more are boilerplate and removed; a document that loses more than
+``max_lost`` percent of its words with them, or has fewer than ``MIN_WORDS`` left, is depleted and rejected.
+``judge`` gives the counts and the verdict, ``clean`` the documents without those lines, also judged by the repeats in what is left.
 """
 
 from __future__ import annotations
@@ -93,11 +93,13 @@ def base_counts(text: Column) -> Column:
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """``line``: keys of the lines that ``max_docs`` or more documents of one host hold.
 
-    A document counts once for a line, and counts are combined in each task before
-    the shuffle, so a line of every document moves one row a task.
+    A document counts once for a line, however often it holds the line or stands in the table; documents without an
+    id are told apart by their texts. Pairs of line and document are dealt by both, so a line of every
+    document is spread, and counts are combined in each task before they move.
     """
     lines = F.array_distinct(F.transform(text_lines(F.col("text")), lambda x: line_key(F.col("source"), x)))
-    held = docs.select("text", "source").select(F.explode(lines).alias("line"))
+    own = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    held = docs.select("doc_id", own.alias("own"), F.explode(lines).alias("line")).distinct()
     return held.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= max_docs).select("line")
 
 
@@ -165,17 +167,17 @@ def fails(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
-    """Base counts, words lost with frequent lines, and the verdict on the whole text, one row per row of ``docs``.
+    """Base counts, words lost with frequent lines, words left without them, and the verdict, one row per row of ``docs``.
 
     Needs doc_id, text and source; other columns are ignored. A null text has no words
-    and fails the base rule; a null source is a host of its own; rows that repeat are
-    documents of their own and count as such; an empty table gives an empty result.
-    ``clean`` removes the lines and judges what is left.
+    and fails the base rule; a null source is a host of its own; rows of one doc_id are judged
+    each and count as one document of a line; an empty table gives an empty result.
     """
     lost = losses(docs.select("doc_id", "text", "source"), ["doc_id"], max_docs).select("doc.doc_id", "base.*", "n_frequent_words")
     failed = fails(F.col("n_words"), F.col("n_repeat_words"))
-    depleted = 100 * F.col("n_frequent_words") > max_lost * F.col("n_words")
-    return lost.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+    left = F.col("n_words") - F.col("n_frequent_words")
+    depleted = (100 * F.col("n_frequent_words") > max_lost * F.col("n_words")) | (left < MIN_WORDS)
+    return lost.withColumns({"n_words_left": left, "base_failed": failed, "kept": ~failed & ~depleted})
 
 
 def clean(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
@@ -209,17 +211,18 @@ lines AS (SELECT r, source, line,
                  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
           FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r),
-often AS (SELECT source, k FROM (SELECT DISTINCT r, source, k FROM lines) GROUP BY source, k HAVING count(*) >= {MAX_DOCS}),
+often AS (SELECT source, k FROM (SELECT DISTINCT coalesce('i' || doc_id, 't' || md5(text)) AS doc, lines.source, k FROM lines JOIN d USING (r))
+          GROUP BY source, k HAVING count(*) >= {MAX_DOCS}),
 lost AS (SELECT l.r, sum(l.n) AS n FROM lines l JOIN often o ON l.k = o.k AND l.source IS NOT DISTINCT FROM o.source GROUP BY l.r),
 base AS (SELECT d.r, d.doc_id, len(tok.w) AS n_words, length(array_to_string(tok.w, '')) AS word_chars,
                 len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS n_symbols,
                 coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
                 coalesce(lost.n, 0) AS n_frequent_words
          FROM d JOIN tok USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_frequent_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_frequent_words, n_words - n_frequent_words AS n_words_left,
        n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
        NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words)
-           AND NOT (100 * n_frequent_words > {MAX_LOST} * n_words) AS kept
+           AND NOT (100 * n_frequent_words > {MAX_LOST} * n_words) AND n_words - n_frequent_words >= {MIN_WORDS} AS kept
 FROM base
 """
 
