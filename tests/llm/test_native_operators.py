@@ -227,6 +227,27 @@ def test_personal_data_matches_plain_regular_expressions(spark):
     assert got[10].spans == "national_id:4:15,national_id:17:28"
 
 
+CODES = {
+    "account XK05 1212 0123 4567 8906 PAID": "iban:8:32",
+    "account XK05 1212 0123 4567 8906 PAID IN FULL TODAY": "iban:8:32",
+    "account XK05 1212 0123 4567 8906 now": "iban:8:32",
+    "DE89 3704 0044 0532 0130 00 AND SO ON": "iban:0:27",
+    "DE89370400440532013000 SENT": "iban:0:22",
+    "xDE89370400440532013000 SENT": "",
+    "bank DE89370400440532013000X": "",
+    "DE88 3704 0044 0532 0130 00 AND SO ON": "",
+    "378282246310005 is my amex card": "short_card:0:15",
+    "378282246310005 " + "is " * 20 + "card": "",
+    "378282246310005 is it": "",
+    "219-09-9999 as NATIONAL ID": "national_id:0:11",
+}
+
+
+def test_account_codes_before_capitals_and_words_on_both_sides(spark):
+    df = spark.createDataFrame(list(enumerate(CODES)), "doc_id bigint, text string")
+    assert {t: r.spans for t, r in zip(CODES, pii.digest(pii.detect(df)).orderBy("doc_id").collect(), strict=True)} == CODES
+
+
 def test_redaction_cuts_exactly_the_spans(spark):
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(PERSONAL)], "doc_id bigint, text string, n_chars int")
     spans = {r.doc_id: r.pii_spans for r in pii.detect(df).collect()}

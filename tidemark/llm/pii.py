@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Every kind has a pattern, a test of the matched text, a base score, and words that raise
-the score when they stand shortly before the match. A match is a finding from ``THRESHOLD``
-on. The four base kinds are certain once their test holds; the added kinds need their
+the score when they stand shortly before or after the match. A match is a finding from ``THRESHOLD``
+on. An account code may stand before other words in capitals, which its pattern takes along: it is the
+longest beginning of the match that ends with a group and passes its checksum. The four base kinds are certain once their test holds; the added kinds need their
 checksum, their context, or both, and give way to findings of the base kinds.
 
 Positions come from what stands between the matches: the text is split by the same
@@ -93,14 +94,31 @@ def _valid(kind: str, found: Column, before: Column, after: Column) -> Column:
         return F.when(alone & F.length(number).between(13, 15), luhn(number)).otherwise(False)
     if kind == "phone":
         return F.length(number).between(8, 15)
-    if kind == "iban":
-        code = F.replace(found, F.lit(" "), F.lit(""))
-        return F.when(alone & F.length(code).between(15, 34), mod97(code)).otherwise(False)
     if kind == "national_id":
         return alone & ~found.rlike("^(?:000|666|9[0-9]{2})|-00-|0000$")
     return F.lit(True)
 
 
+def _account_length(found: Column, before: Column, after: Column) -> Column:
+    """Characters of the longest beginning of a match that is an account code and ends at a blank or with the match; 0 if none is."""
+    apart = ~after.rlike("^[A-Za-z0-9]")
+
+    def holds(n: Column) -> Column:
+        ends = F.when(n == F.length(found), apart).otherwise(found.substr(n + 1, F.lit(1)) == " ")
+        code = F.replace(found.substr(F.lit(1), n), F.lit(" "), F.lit(""))
+        return F.when(ends & F.length(code).between(15, 34), mod97(code)).otherwise(False)
+
+    lengths = F.filter(F.sequence(F.lit(1), F.length(found)), holds)
+    return F.when(before.rlike("[A-Za-z0-9]$"), 0).otherwise(F.coalesce(F.array_max(lengths), F.lit(0)))
+
+
+def _kept_length(kind: str, found: Column, before: Column, after: Column) -> Column:
+    """Characters of a match, from its start, that are a finding; 0 if it is none."""
+    if kind == "iban":
+        return _account_length(found, before, after)
+    return F.when(_valid(kind, found, before, after), F.length(found)).otherwise(0)
+
+
 SPAN = "struct<kind:int,start:bigint,end:bigint,score:double>"
 
 
@@ -115,19 +133,21 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
             lambda x, i: F.struct(
                 x["found"].alias("found"),
                 (x["end"] - F.length(x["found"])).alias("start"),
-                x["end"].alias("end"),
-                F.get(gaps, i).alias("before"),
-                F.get(gaps, i + 1).alias("after"),
+                _kept_length(kind.name, x["found"], F.get(gaps, i), F.get(gaps, i + 1)).alias("kept"),
             ),
         )
-        passed = F.filter(near, lambda x: _valid(kind.name, x["found"], x["before"], x["after"]))
+        passed = F.transform(
+            F.filter(near, lambda x: x["kept"] > 0), lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["kept"]).alias("end"))
+        )
 
         def score(x: Column) -> Column:
             if not kind.bonus:
                 return F.lit(kind.score)
             begin = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-            context = F.lower(F.substring(text, begin.cast("int") + 1, (x["start"] - begin).cast("int")))
-            return F.round(F.lit(kind.score) + F.when(context.rlike(kind.context), kind.bonus).otherwise(0.0), 2)
+            ahead = F.lower(F.substring(text, begin.cast("int") + 1, (x["start"] - begin).cast("int")))
+            behind = F.lower(F.substring(text, x["end"].cast("int") + 1, F.lit(CONTEXT_CHARS)))
+            near_by = ahead.rlike(kind.context) | behind.rlike(kind.context)
+            return F.round(F.lit(kind.score) + F.when(near_by, kind.bonus).otherwise(0.0), 2)
 
         scored = F.transform(
             passed, lambda x: F.struct(F.lit(rank).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score"))
@@ -271,8 +291,12 @@ def _check_sql() -> str:
         "WHEN substr(num, -i, 1)::INT > 4 THEN 2 * substr(num, -i, 1)::INT - 9 ELSE 2 * substr(num, -i, 1)::INT END)) % 10 = 0"
     )
     alone = "NOT regexp_matches(pre, '[A-Za-z0-9]$') AND NOT regexp_matches(post, '^[A-Za-z0-9]')"
-    context = "lower(text[greatest(s - 39, 1):s])"
-    code = "replace(m, ' ', '')"
+    ahead, behind = "lower(text[greatest(s - 39, 1):s])", "lower(text[e + 1:e + 40])"
+
+    def context(words: str) -> str:
+        return f"(regexp_matches({ahead}, '{words}') OR regexp_matches({behind}, '{words}'))"
+
+    code = "replace(m[1:n], ' ', '')"
     mod97_sql = (
         f"list_reduce(list_prepend(0, list_transform(string_split(substr({code}, 5) || substr({code}, 1, 4), ''), "
         "lambda c: CASE WHEN c >= 'A' THEN ord(c) - 55 ELSE c::INT END)), "
@@ -283,23 +307,27 @@ def _check_sql() -> str:
         "ip": "list_max(list_transform(string_split(m, '.'), lambda p: p::HUGEINT)) <= 255",
         "card": f"length(num) BETWEEN 16 AND 19 AND {luhn_sql}",
         "phone": "length(num) BETWEEN 8 AND 15",
-        "iban": f"{alone} AND length({code}) BETWEEN 15 AND 34 AND {mod97_sql}",
+        "iban": "NOT regexp_matches(pre, '[A-Za-z0-9]$') AND CASE WHEN n = length(m) THEN NOT regexp_matches(post, '^[A-Za-z0-9]') "
+        f"ELSE m[n + 1:n + 1] = ' ' END AND length({code}) BETWEEN 15 AND 34 AND {mod97_sql}",
         "short_card": f"{alone} AND length(num) BETWEEN 13 AND 15 AND {luhn_sql} "
-        f"AND regexp_matches({context}, 'card|visa|amex|diners|credit')",
+        f"AND {context('card|visa|amex|diners|credit')}",
         "national_id": rf"{alone} AND NOT regexp_matches(m, '^(?:000|666|9[0-9]{{2}})|-00-|0000$') "
-        f"AND regexp_matches({context}, 'ssn|social security|national id|tax id')",
+        f"AND {context('ssn|social security|national id|tax id')}",
     }
     parts = []
     for rank, (name, pattern) in enumerate(plain.items()):
+        # of an account code any beginning is tried, of all else the whole match
+        lengths, longest = ("unnest(range(1, length(m) + 1))", "GROUP BY r, s") if name == "iban" else ("length(m)", "")
+        end = "s + max(n)" if longest else "e"
         parts.append(rf"""
-SELECT r, {rank} AS rank, '{name}' AS kind, s, e FROM (
+SELECT r, {rank} AS rank, '{name}' AS kind, s, {end} AS e FROM (SELECT *, {lengths} AS n FROM (
   SELECT r, text, m, pre, post, regexp_replace(m, '[^0-9]', '', 'g') AS num, off + length(pre) AS s, off + length(pre) + length(m) AS e FROM (
     SELECT r, text, ms[i] AS m, gs[i] AS pre, gs[i + 1] AS post,
            coalesce(list_sum(list_transform(gs[1:i - 1], lambda x: length(x))), 0)
              + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS off
     FROM (SELECT r, text, ms, gs, unnest(range(1, len(ms) + 1)) AS i
-          FROM (SELECT r, text, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS gs FROM d))))
-WHERE {test[name]}""")
+          FROM (SELECT r, text, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS gs FROM d)))))
+WHERE {test[name]} {longest}""")
     union = " UNION ALL ".join(parts)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
