@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -460,3 +461,59 @@ def test_every_language_is_a_class(spark):
     fewer = Counter(r.lang for r in byte_language.training_windows(docs, per_language=2, languages=40).collect())
     assert set(fewer) == {r[2] for r in rows} and max(fewer.values()) == 1
     assert len(byte_language.train(docs)[0]) == 80
+
+
+def slow_distribution(network, text):
+    """One byte after the other, gate by gate, in double precision."""
+    w = {k: v.astype(float) for k, v in network.w.items()}
+    n = network.hidden
+
+    def read(data, side):
+        h, out = np.zeros(n), []
+        for byte in data:
+            a, rec = w[f"in_{side}"][byte], w[f"rec_{side}"]
+            update = 1 / (1 + np.exp(-(a[:n] + h @ rec[:, :n])))
+            reset = 1 / (1 + np.exp(-(a[n : 2 * n] + h @ rec[:, n : 2 * n])))
+            new = np.tanh(a[2 * n :] + (h * reset) @ rec[:, 2 * n :])
+            h = h + update * (new - h)
+            out.append(h)
+        return out
+
+    total = np.zeros(network.classes)
+    for begin in range(0, len(text), byte_language.STEPS):
+        part = text[begin : begin + byte_language.STEPS]
+        for f, b in zip(read(part, "f"), read(part[::-1], "b")[::-1], strict=True):
+            logits = f @ w["out_f"] + b @ w["out_b"] + w["bias"]
+            p = np.exp(logits - logits.max())
+            total += p / p.sum()
+    return total / max(len(text), 1)
+
+
+def test_pooled_distributions_equal_a_slow_network(monkeypatch):
+    rng = random.Random(4)
+    texts = [bytes(rng.randrange(256) for _ in range(size)) for size in (0, 1, 127, 128, 129, 700, 0, 256, 3)]
+    network = byte_language.Network(5)
+    want = [slow_distribution(network, t) for t in texts]
+    for rows in (byte_language.ROWS, 3):
+        monkeypatch.setattr(byte_language, "ROWS", rows)
+        assert np.allclose(byte_language.pooled(network, texts), want, atol=1e-5)
+    assert byte_language.pooled(network, []).shape == (0, 5)
+
+
+def test_windows_of_a_very_long_text_take_one_copy():
+    texts = [b"", bytes(range(256)) * (200 * 1024 * 4), b"ab"]
+    tracemalloc.start()
+    x, owner, size = byte_language.windows(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(texts[1]) == 200 << 20 and peak < 400 << 20
+    assert x.shape == (128, (200 << 20) // 128 + 1) and size[-1] == 2 and owner[-1] == 2
+    assert bytes(x[:, -2]) == texts[1][-128:] and bytes(x[:3, -1]) == b"ab\0"
+
+
+def test_training_windows_are_the_first_of_all_by_hash(spark, docs, monkeypatch):
+    def chosen(n_blocks):
+        monkeypatch.setattr(byte_language, "BLOCKS", n_blocks)
+        return sorted((r.lang, r.pick, bytes(r.bytes)) for r in byte_language.training_windows(docs.repartition(5), per_language=9).collect())
+
+    assert chosen(16) == chosen(1) and len(chosen(3)) == 9 * docs.where("lang is not null").select("lang").distinct().count()

@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.shaping import topk
+
 from .common import crc_share, documents
 from .registry import register
 from .subwords import slices
@@ -31,6 +33,8 @@ RATE = 0.02
 #: Windows that run through the network together, and characters of text held at once.
 ROWS = 2048
 HELD_CHARS = 1 << 20
+#: Blocks in which the windows of a language are ranked.
+BLOCKS = 16
 UNKNOWN = "und"
 
 
@@ -184,12 +188,9 @@ def windows(texts: list[bytes], steps: int = STEPS) -> tuple[np.ndarray, np.ndar
     owner = np.repeat(np.arange(len(texts)), per)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     size = np.minimum(steps, lengths[owner] - nth * steps)
-    joined = np.frombuffer(b"".join(texts), np.uint8)
-    out = np.zeros((len(owner), steps), np.uint8)
-    starts = np.repeat(np.cumsum(per) - per, lengths) * steps  # of the text's first window, for each byte
-    within = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out.reshape(-1)[starts + within] = joined
-    return out.T, owner, size
+    # every text filled up to whole windows: one copy of its bytes, nothing else grows with them
+    filled = b"".join(part for t in texts for part in (t, bytes(-len(t) % steps)))
+    return np.frombuffer(filled, np.uint8).reshape(len(owner), steps).T, owner, size
 
 
 def _valid(size: np.ndarray, steps: int) -> np.ndarray | None:
@@ -227,8 +228,9 @@ def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE, language
     one = labelled.select("lang", F.xxhash64("doc_id", "text").alias("pick"), F.substring(raw, place, F.lit(steps)).alias("bytes"))
     known = labelled.select("lang").distinct().count()
     most = max(1, per_language * languages // max(known, languages))
-    ranked = one.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).where(F.col("nth") <= most)
-    return ranked.select("lang", "bytes", "pick")
+    # first in blocks of a language, so that what its last ranking takes does not grow with the number of tasks
+    blocks = one.withColumn("block", F.pmod("pick", F.lit(BLOCKS)))
+    return topk(topk(blocks, ["lang", "block"], [F.col("pick")], most), ["lang"], [F.col("pick")], most).select("lang", "bytes", "pick")
 
 
 def train(docs: DataFrame, **how) -> tuple[list[str], Network | None]:
