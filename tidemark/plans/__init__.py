@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PLANS = ["orders", "quality", "catalog", "search", "governance", "vectors", "health", "kpi", "sources", "streams"]
+_PLANS = ["orders", "quality", "catalog", "search", "lineage_many", "governance", "vectors", "health", "kpi", "sources", "streams"]
 
 
 def load_all() -> None:
