@@ -224,47 +224,27 @@ def asset_document(assets: DataFrame, fields: DataFrame) -> DataFrame:
     )
 
 
-def query_tokens(text: str) -> list[str]:
-    """Tokens of a typed query, by the same rule as :func:`tokens`."""
-    import re
-
-    from tidemark.functions.names import STOP_WORDS
-
-    spaced = re.sub(r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ", text.lower())
-    parts = [t for t in re.split(r"[^a-z0-9]+", spaced) if len(t) >= 2 and t not in STOP_WORDS]
-    return list(dict.fromkeys(parts))
-
-
 def keyword_rank(assets: DataFrame, fields: DataFrame, query: str, k: int = 8) -> DataFrame:
     """Top k assets by query words: 3 for a word of the name, 2 for a part of one
-    (either way round), 1 for a word of a field name. Ties by name, then id."""
-    words = query_tokens(query)
-    if not words:
-        return assets.select("asset_id", "name", F.lit(0).alias("score")).orderBy("name", "asset_id").limit(k)
+    (either way round), 1 for a word of a field name. Ties by name, then id. A query
+    without a word lists the first k assets, each with 0."""
+    words = tokens(F.lit(query))
+    # at most the words of the query for each asset
     in_field = (
-        fields.withColumn("_t", tokens("name"))
-        .groupBy("asset_id")
-        .agg(*[F.bool_or(F.array_contains("_t", w)).alias(f"_f{i}") for i, w in enumerate(words)])
-    )
-    named = assets.withColumn("_n", tokens("name")).join(in_field, "asset_id", "left")
-    score = F.lit(0)
-
-    def partly(word: str) -> Column:
-        return F.exists("_n", lambda t: t.contains(word) | F.lit(word).contains(t))
-
-    for i, w in enumerate(words):
-        score = score + (
-            F.when(F.array_contains("_n", w), 3)
-            .when(partly(w), 2)
-            .when(F.coalesce(F.col(f"_f{i}"), F.lit(False)), 1)
-            .otherwise(0)
-        )
-    return (
-        named.select("asset_id", "name", score.alias("score"))
-        .where(F.col("score") > 0)
-        .orderBy(F.col("score").desc(), "name", "asset_id")
-        .limit(k)
+        fields.select("asset_id", F.explode(F.array_intersect(tokens("name"), words)).alias("w"))
+        .groupBy("asset_id").agg(F.collect_set("w").alias("_f"))
     )
+    named = assets.select("asset_id", "name", tokens("name").alias("_n")).join(in_field, "asset_id", "left")
+
+    def points(word: Column) -> Column:
+        partly = F.exists("_n", lambda t: t.contains(word) | word.contains(t))
+        by_field = F.coalesce(F.array_contains("_f", word), F.lit(False))
+        return F.when(F.array_contains("_n", word), 3).when(partly, 2).when(by_field, 1).otherwise(0)
+
+    score = F.aggregate(words, F.lit(0), lambda total, word: total + points(word))
+    scored = named.select("asset_id", "name", score.alias("score"))
+    hit = (F.col("score") > 0) | (F.size(words) == 0)
+    return scored.where(hit).orderBy(F.col("score").desc(), "name", "asset_id").limit(k)
 
 
 def resolve_names(names: DataFrame, assets: DataFrame, col: str = "typed") -> DataFrame:

@@ -25,6 +25,7 @@ from tidemark.functions.scalar import (
     tax_rate,
 )
 from tidemark.operators.quality.checks import sketch_distinct
+from tidemark.session import settle
 
 GRAIN = ["report_date", "region", "category", "channel"]
 
@@ -242,35 +243,24 @@ def rank_sum(df: DataFrame, part: list[str], by: list[str], value: str, out: str
     )
 
 
-def group_rank(part: list[str], by: list[str], value: str) -> Column:
-    """The same rank as :func:`rank_sum`, as a window over the detail rows.
+def with_ranks(df: DataFrame) -> DataFrame:
+    """Region rank per date and category rank per date and region.
 
-    Saves the aggregate-and-join-back, which would compute the base three
-    times. ``_first`` marks one row per group, so counting it counts groups;
-    peers (equal totals) are subtracted to get RANK and not the last position.
+    The groups are ranked and joined back, null keys included, so ``df`` is read three times: give a stored frame.
     """
-    total = f"_sum_{'_'.join(by)}"
-    first = f"_first_{'_'.join(by)}"
-    upto = Window.partitionBy(*part).orderBy(F.col(total).desc())
-    peers = Window.partitionBy(*part, total)
-    return F.sum(first).over(upto) - F.sum(first).over(peers) + 1
+    regions = rank_sum(df, ["report_date"], ["region"], "net_revenue", "region_revenue_rank")
+    categories = rank_sum(df, ["report_date", "region"], ["category"], "net_revenue", "category_revenue_rank")
+    ranked = _joined(df, regions, ["report_date", "region"], null_safe=True)
+    return _joined(ranked, categories, ["report_date", "region", "category"], null_safe=True)
 
 
-def with_ranks(df: DataFrame) -> DataFrame:
-    """Region rank per date and category rank per date and region."""
-    for part, by, out in (
-        (["report_date"], ["region"], "region_revenue_rank"),
-        (["report_date", "region"], ["category"], "category_revenue_rank"),
-    ):
-        group = Window.partitionBy(*part, *by)
-        first = F.row_number().over(group.orderBy("region", "category", "channel"))
-        df = df.withColumns(
-            {
-                f"_sum_{by[0]}": F.sum("net_revenue").over(group),
-                f"_first_{by[0]}": F.when(first == 1, 1).otherwise(0),
-            }
-        ).withColumn(out, group_rank(part, by, "net_revenue"))
-    return df.drop("_sum_region", "_first_region", "_sum_category", "_first_category")
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -> DataFrame:
+    """Inner join on the keys; ``null_safe`` lets null keys meet."""
+    if not null_safe:
+        return left.join(right, keys)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    tests = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, tests).drop(*[f"_r_{k}" for k in keys])
 
 
 def mart_join(
@@ -282,20 +272,10 @@ def mart_join(
     out; ``null_safe`` keeps them with null-safe equality.
     """
 
-    def on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        if not null_safe:
-            return left.join(right, keys)
-        renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-        cond = None
-        for k in keys:
-            test = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-            cond = test if cond is None else cond & test
-        return left.join(renamed, cond).drop(*[f"_r_{k}" for k in keys])
-
     extra = [c for c in windowed.columns if c in GRAIN or c not in base.columns]
-    out = on(base, windowed.where("is_current").select(*extra).drop("is_current"), GRAIN)
-    out = on(out, region_ranks, ["report_date", "region"])
-    return on(out, category_ranks, ["report_date", "region", "category"])
+    out = _joined(base, windowed.where("is_current").select(*extra).drop("is_current"), GRAIN, null_safe)
+    out = _joined(out, region_ranks, ["report_date", "region"], null_safe)
+    return _joined(out, category_ranks, ["report_date", "region", "category"], null_safe)
 
 
 def build_mart(
@@ -303,14 +283,14 @@ def build_mart(
 ) -> DataFrame:
     """The 19-column mart from the daily base and earlier mart rows.
 
-    One pass: the windows carry the base columns along, so nothing is joined
-    back. ``null_safe=False`` drops rows with a null key, as the joins would.
+    The windows carry the base columns along. Their result, of days x grain rows, is stored once and
+    ranked from there. ``null_safe=False`` drops rows with a null key, as the joins would.
     """
     if grain == "daily":
         raise ValueError("the mart keeps the channel; use mart_windows(grain='daily') for daily series")
     past = None if history is None else history.select(*GRAIN, money("net_revenue").alias("net_revenue"))
     current = mart_windows(union_flagged(base, past)).where("is_current").drop("is_current")
-    ranked = with_ranks(current)
+    ranked = with_ranks(settle(current, "mart-series"))
     if not null_safe:
         ranked = ranked.dropna(subset=GRAIN)
     return as_doubles(ranked.withColumn("computed_at", as_ts(as_of)))

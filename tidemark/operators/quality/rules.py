@@ -72,6 +72,7 @@ FAMILIES = [
     ("temporal", ["timestamp", "created", "updated", "modified", "date", "time", "event_time", "_at"],
      ["not_future", "not_too_old"]),
 ]
+# Words with "age" that are no ages, rules by kind alone, type names of a kind.
 AGE_EXCEPT = ["cage", "page", "stage"]
 TYPE_DEFAULTS = {
     "string": ["non_empty"],

@@ -188,7 +188,7 @@ def _(spark, sf):
 SELECT * REPLACE (CAST(gross_revenue AS DOUBLE) AS gross_revenue, CAST(net_revenue AS DOUBLE) AS net_revenue,
   CAST(total_discount AS DOUBLE) AS total_discount) FROM base""")
 def _(spark, sf):
-    return O.as_doubles(O.daily_base(enriched(spark, sf)))
+    return O.as_doubles(base(spark, sf))
 
 
 @query("mart_build", MART + "\nSELECT * FROM mart")
