@@ -144,6 +144,24 @@ def _(spark, sf):
     return C.run_plan(df, C.plan_checks({"scope": "full", "checks": _MANY + _UNFIT}, df.schema), AS_OF)
 
 
+_SAMPLED = [
+    {"type": "not_null", "col": "user_id"},
+    {"type": "unique", "col": "event_id"},
+    {"type": "range", "col": "value", "min": 0, "max": 50},
+    {"type": "unique", "col": "event_type"},
+]
+
+
+@query("sampled_checks", "WITH picked AS (SELECT * FROM events ORDER BY md5(CAST(event_id AS VARCHAR)) LIMIT 2500)\n"
+       "SELECT *, 'sample' AS scope FROM (" + check_rows("picked", [
+           ("not_null", "user_id", "user_id IS NULL", 5, 20), ("unique", "event_id", "", None, None),
+           ("range", "value", "value NOT BETWEEN 0 AND 50", 1, 5), ("unique", "event_type", "", None, None)]) + ")")
+def _(spark, sf):
+    df = view(spark, sf, "events")
+    plan = C.plan_checks({"scope": "sample", "rows": 2500, "checks": _SAMPLED}, df.schema)
+    return C.run_plan(df, plan, AS_OF, key=F.col("event_id"))
+
+
 def scorecard_rows(source: str, asset: str, cols: list[str], ids: list[str], rules: list[tuple]) -> str:
     """Check SQL of a scorecard; rules are (column, rule, violation SQL, warn, fail)."""
     parts = []
