@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -264,3 +265,17 @@ def test_registry_keeps_key_and_value_schemas_apart(spark):
     )
     got = {(r.name, r.topic, r.version) for r in avro.registry_latest(raw).collect()}
     assert got == {("x-key", "x", 1), ("x-value", "x", 2), ("y", "y", 0)}
+
+
+def test_a_backlog_lands_in_bounded_batches_of_few_files(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    df = spark.range(600).select("id", (F.col("id") % 3).alias("month"), F.when(F.col("id") % 2 == 0, F.create_map(F.lit("k"), "id")).alias("tags"))
+    df.repartition(6).write.parquet(src)
+    stream = J.stream_files(spark, src, df.schema, per_batch=2).repartition(8)
+    J.land_stream(stream, out, cp, ["month"], available_now=True, files=2).awaitTermination()
+    batches = [f for f in os.listdir(f"{cp}/commits") if f.isdigit()]
+    assert len(batches) == 3
+    for month in range(3):
+        held = [f for f in os.listdir(f"{out}/month={month}") if f.endswith(".parquet")]
+        assert 1 < len(held) <= 3 * 2
+    assert rows(spark.read.parquet(out).select("id")) == rows(df.select("id"))

@@ -18,7 +18,8 @@ from tidemark.sources.tables import project_to_schema
 
 
 def stream_kafka_avro(
-    spark: SparkSession, servers: str, topic: str, avro_schema: str, delay: str = "10 seconds", start: str = "earliest"
+    spark: SparkSession, servers: str, topic: str, avro_schema: str, delay: str = "10 seconds", start: str = "earliest",
+    per_batch: int | None = None,
 ) -> DataFrame:
     """Framed Avro messages of a topic with partition, offset and event time.
 
@@ -26,18 +27,20 @@ def stream_kafka_avro(
     """
     from pyspark.sql.avro.functions import from_avro
 
-    raw = kafka_stream(spark, servers, topic, start)
+    raw = kafka_stream(spark, servers, topic, start, per_batch)
     return decode_topic(raw, lambda payload: from_avro(payload, avro_schema), delay)
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, start: str = "earliest") -> DataFrame:
-    """Raw committed messages of a topic."""
+def kafka_stream(spark: SparkSession, servers: str, topic: str, start: str = "earliest", per_batch: int | None = None) -> DataFrame:
+    """Raw committed messages of a topic; a backlog is taken in batches of ``per_batch`` messages at most, if it is given."""
+    limit = {} if per_batch is None else {"maxOffsetsPerTrigger": str(per_batch)}
     return (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", start)
         .option("kafka.isolation.level", "read_committed")
+        .options(**limit)
         .load()
     )
 
@@ -53,9 +56,11 @@ def decode_topic(raw: DataFrame, decode, delay: str | None = "10 seconds") -> Da
     return records.withWatermark("event_time", delay) if delay else records
 
 
-def stream_files(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A folder (or pattern) of Parquet files as a stream of the stated schema."""
-    return spark.readStream.schema(schema).parquet(path)
+def stream_files(spark: SparkSession, path: str, schema, per_batch: int | None = None) -> DataFrame:
+    """A folder (or pattern) of Parquet files as a stream of the stated schema; a backlog is taken in batches
+    of ``per_batch`` files at most, if it is given."""
+    limit = {} if per_batch is None else {"maxFilesPerTrigger": str(per_batch)}
+    return spark.readStream.schema(schema).options(**limit).parquet(path)
 
 
 def landing_projection(events: DataFrame, ingested_at=None) -> DataFrame:
@@ -66,12 +71,22 @@ def landing_projection(events: DataFrame, ingested_at=None) -> DataFrame:
     )
 
 
+def _clustered(df: DataFrame, by: list[str], files: int) -> DataFrame:
+    """Rows of one partition value in ``files`` tasks at most, so a batch adds no more files than that to it.
+
+    A hash of the row chooses the task, so a hot value is split and a retried task deals alike."""
+    plain = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(files))
+    return df.repartition(*by, salt)
+
+
 def land_stream(
-    df: DataFrame, path: str, checkpoint: str, by: list[str] | None = None, available_now: bool = False, every: str = "1 minute"
+    df: DataFrame, path: str, checkpoint: str, by: list[str] | None = None, available_now: bool = False, every: str = "1 minute",
+    files: int = 4,
 ) -> StreamingQuery:
-    """Append-only landing to partitioned Parquet, exactly once by the checkpoint."""
+    """Append-only landing to partitioned Parquet, exactly once by the checkpoint; a batch adds ``files`` files at most to a partition."""
     writer = (
-        df.writeStream.format("parquet").outputMode("append").option("path", path)
+        (_clustered(df, by, files) if by else df).writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).option("compression", "snappy")
     )
     if by:
@@ -94,7 +109,7 @@ def continuous_copy(
     if sink.get("schema") is not None:
         df = project_to_schema(df, sink["schema"])
     if kind == "directory":
-        return land_stream(df, sink["path"], checkpoint, sink.get("by"), available_now, every)
+        return land_stream(df, sink["path"], checkpoint, sink.get("by"), available_now, every, sink.get("files", 4))
     writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
     return writer.toTable(sink["name"])
