@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators.quality import checks as C
+from tidemark.operators.quality import profile as P
 from tidemark.operators.quality import sampling as S
 
 
@@ -59,3 +60,11 @@ def test_plan_reads_so_many_rows(spark):
     for bad in ({}, {"rows": 0}, {"rows": "10"}, {"rows": True}):
         with pytest.raises(ValueError):
             C.plan_checks({**ask, "scope": "sample", **bad}, df.schema)
+
+
+def test_profile_of_so_many_rows(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("half"))
+    got = P.sample_profile(df, "2026-01-01", exact=True, rows=80)
+    assert rows(got, "column", "sampled")[0] == ("half", 80)
+    assert rows(got.where("column = 'id'"), "n_distinct") == [(80,)]
+    assert rows(got) == rows(P.sample_profile(df.repartition(3), "2026-01-01", exact=True, rows=80))

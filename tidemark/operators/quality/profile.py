@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import as_ts, half_up
 from tidemark.operators.quality.checks import COLUMNS_PER_PASS, PATTERNS, distinct_count, sketch_distinct
 from tidemark.operators.quality.rules import schema_kind
+from tidemark.operators.quality.sampling import exact_sample
+from tidemark.session import settle
 
 FINGERPRINTS = {
     "email": PATTERNS["email"],
@@ -70,13 +72,17 @@ def type_profile(df: DataFrame, as_of, exact: bool = False) -> DataFrame:
     return out
 
 
-def sample_profile(df: DataFrame, as_of, fraction: float = 1.0, seed: int = 42, exact: bool = False) -> DataFrame:
-    """Profile of a Bernoulli sample with rates per column.
+def sample_profile(df: DataFrame, as_of, fraction: float = 1.0, seed: int = 42, exact: bool = False, rows: int | None = None) -> DataFrame:
+    """Profile of a Bernoulli sample, or of exactly ``rows`` rows, with rates per column.
 
-    Sampling is by row after the scan: it saves aggregation, not reading. Fingerprint
+    Sampling is by row after the scan: it saves aggregation, not reading. So many ``rows`` are stored,
+    as an exact profile reads them once for each column. Fingerprint
     shares are of non-null values; a fingerprint without hits stays null.
     """
-    source = df if fraction >= 1.0 else df.sample(fraction=fraction, seed=seed)
+    if rows is not None:
+        source = settle(exact_sample(df, rows), "sample")
+    else:
+        source = df if fraction >= 1.0 else df.sample(fraction=fraction, seed=seed)
     p = type_profile(source, as_of, exact)
     nn = F.col("non_null").cast("double")
     shares = {
