@@ -49,8 +49,10 @@ def test_impact_has_no_cap(spark):
 
 def test_entity_types(spark):
     df = spark.createDataFrame([("x_kafka.t", None), ("hive.t", ""), ("dbt.m", None), ("looker.d", "table"), ("odd", None)], "f string, e string")
-    got = {r.f: r.t for r in df.select("f", L.entity_type("f", "e").alias("t")).collect()}
+    got = {r.f: r.t for r in df.select("f", L.entity_type("f", "e", {**L.SERVICE_TYPES, "x_kafka": "topic"}).alias("t")).collect()}
     assert got == {"x_kafka.t": "topic", "hive.t": "table", "dbt.m": "pipeline", "looker.d": "table", "odd": "table"}
+    # a first part that merely ends in a service is another service
+    assert df.where("f = 'x_kafka.t'").select(L.entity_type("f")).first()[0] == "table"
 
 
 def test_usage_rank_ties(spark):

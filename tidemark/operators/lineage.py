@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from tidemark.functions.scalar import col_of
 from tidemark.operators.sinks import upsert_latest
 from tidemark.session import settle
 
-# Service in the first name part to entity type; anything else is a table.
+# Services by their plain names, with the type of their entities; a deployment states its own names.
 SERVICE_TYPES = {
     "kafka": "topic", "hive": "table", "nifi": "pipeline", "looker": "dashboard",
     "metabase": "dashboard", "superset": "dashboard", "dbt": "pipeline",
@@ -75,20 +76,22 @@ def distinct_edges(up: DataFrame, down: DataFrame, nodes: DataFrame) -> DataFram
     return edges_within(up.select("from_fqn", "to_fqn").unionByName(down.select("from_fqn", "to_fqn")), nodes)
 
 
-def entity_type(fqn, explicit=None) -> Column:
-    """Entity type from the service in the name's first part, unless given."""
+def entity_type(fqn, explicit=None, services: Mapping[str, str] = SERVICE_TYPES) -> Column:
+    """Entity type by the name's whole first part, unless given; a service not among ``services`` holds tables."""
     prefix = F.substring_index(col_of(fqn), ".", 1)
-    service = F.substring_index(prefix, "_", -1)
     ladder = F.lit("table")
-    for name, kind in SERVICE_TYPES.items():
-        ladder = F.when(service == name, kind).otherwise(ladder)
+    for name, kind in services.items():
+        ladder = F.when(prefix == name, kind).otherwise(ladder)
     return ladder if explicit is None else F.coalesce(F.nullif(col_of(explicit), F.lit("")), ladder)
 
 
-def impact(edges: DataFrame, root: str, attributes: DataFrame, down: int | None = None, stored: bool = False) -> DataFrame:
+def impact(
+    edges: DataFrame, root: str, attributes: DataFrame, down: int | None = None, stored: bool = False,
+    services: Mapping[str, str] = SERVICE_TYPES,
+) -> DataFrame:
     """Everything downstream with its attributes; ``down`` stops after so many hops."""
     walked = lineage(edges, root, 0, down, stored).where(F.col("depth") > 0)
-    return walked.join(attributes, "node", "left").withColumn("entity_type", entity_type("node"))
+    return walked.join(attributes, "node", "left").withColumn("entity_type", entity_type("node", services=services))
 
 
 def add_edges(edges: DataFrame, jobs: DataFrame) -> DataFrame:

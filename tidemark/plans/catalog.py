@@ -334,6 +334,10 @@ walk AS (SELECT '{ROOT}' AS node, 0 AS depth UNION ALL SELECT node, -1 FROM u1 U
 WALK = with_views("edges", extra=WALK_SQL)
 
 
+#: Services of the edge view: topics and tables under the names of their deployment.
+SERVICES = L.SERVICE_TYPES | {"my_kafka": "topic", "my_hive": "table"}
+
+
 def edges(spark, sf):
     return view(spark, sf, "edges")
 
@@ -378,14 +382,14 @@ def _(spark, sf):
     owners = view(spark, sf, "customer").select(
         F.concat(F.lit("my_hive.customer_"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("owner")
     )
-    return L.impact(edges(spark, sf), "my_kafka.supplier_1", owners)
+    return L.impact(edges(spark, sf), "my_kafka.supplier_1", owners, services=SERVICES)
 
 
 @query("entity_type_infer", with_views("edges") + """
-SELECT DISTINCT from_fqn, CASE split_part(split_part(from_fqn, '.', 1), '_', -1) WHEN 'kafka' THEN 'topic' WHEN 'dbt' THEN 'pipeline'
+SELECT DISTINCT from_fqn, CASE split_part(from_fqn, '.', 1) WHEN 'my_kafka' THEN 'topic' WHEN 'dbt' THEN 'pipeline'
   WHEN 'looker' THEN 'dashboard' ELSE 'table' END AS entity_type FROM edges""")
 def _(spark, sf):
-    return edges(spark, sf).select("from_fqn").distinct().withColumn("entity_type", L.entity_type("from_fqn"))
+    return edges(spark, sf).select("from_fqn").distinct().withColumn("entity_type", L.entity_type("from_fqn", services=SERVICES))
 
 
 @query("record_usage", """
