@@ -176,3 +176,12 @@ def test_other_widths_change_no_result(spark, monkeypatch):
     assert rows(V._merge(V._grid(asked, mixed, 4, 5, 40), 4)) == want
     monkeypatch.setattr(V, "SENT_ROWS", 0)
     assert rows(V.vector_topk(asked, mixed.repartition(3), 4)) == want
+
+
+def test_edges_are_dealt_before_they_are_sorted(spark):
+    schema = "from_fqn string, to_fqn string, pipeline string, built_at int"
+    old = spark.createDataFrame([("a", "b", "p", 1), ("a", "b", "p", 1), ("a", "c", "p", 5), (None, "c", "p", 1)], schema)
+    merged = L.add_edges(old, spark.createDataFrame([("a", "b", "q", 2), ("a", "c", "q", 2), ("x", "y", "q", 2)], schema))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert rows(merged) == [(None, "c", "p", 1), ("a", "b", "q", 2), ("a", "c", "p", 5), ("x", "y", "q", 2)]
+    assert "SortAggregate" in plan and plan.rindex("SortAggregate") < plan.index("Exchange")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import col_of
 from tidemark.operators.sinks import upsert_latest
-from tidemark.session import settle
+from tidemark.session import settle, shuffle_parts
 
 # Services by their plain names, with the type of their entities; a deployment states its own names.
 SERVICE_TYPES = {
@@ -96,8 +96,9 @@ def impact(
 
 def add_edges(edges: DataFrame, jobs: DataFrame) -> DataFrame:
     """One edge per built job added to the edge table; a rebuilt job replaces its edge."""
+    parts = shuffle_parts(edges.sparkSession)  # an edge has few versions
     cols = ["from_fqn", "to_fqn", "pipeline", "built_at"]
-    return upsert_latest(edges.select(*cols), jobs.select(*cols), ["from_fqn", "to_fqn"], ["built_at", "pipeline"])
+    return upsert_latest(edges.select(*cols), jobs.select(*cols), ["from_fqn", "to_fqn"], ["built_at", "pipeline"], parts=parts)
 
 
 def usage_daily(log: DataFrame, asset: str, ts: str) -> DataFrame:
