@@ -279,3 +279,11 @@ def test_a_backlog_lands_in_bounded_batches_of_few_files(spark, tmp_path):
         held = [f for f in os.listdir(f"{out}/month={month}") if f.endswith(".parquet")]
         assert 1 < len(held) <= 3 * 2
     assert rows(spark.read.parquet(out).select("id")) == rows(df.select("id"))
+
+
+def test_schemas_are_dealt_before_they_are_sorted(spark):
+    flat = spark.createDataFrame([("a-value", 3, "g", "old"), ("a-value", 2, "g", "x"), ("b-key", 1, None, "k")], "subject string, version int, schema_group string, schema_text string")
+    latest = A.registry_latest(A.nest_registry(flat))
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert rows(latest, "name", "topic", "schema_group", "version", "schema_text") == [("a-value", "a", "g", 3, "old"), ("b-key", "b", "Kafka", 1, "k")]
+    assert "SortAggregate" in plan and plan.rindex("SortAggregate") < plan.index("Exchange")

@@ -49,11 +49,14 @@ def topk(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def latest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def latest_per_key(df: DataFrame, key: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """Last record per key by ``order``, null orders counting as lowest.
 
-    ``max_by`` combines before the shuffle: one row per key and task moves.
+    ``max_by`` combines before the shuffle: one row per key and task moves. ``parts`` deals the rows by key to
+    so many tasks first, for keys of few records, where combining saves nothing and a task would sort its whole input.
     """
+    if parts is not None:
+        df = df.repartition(parts, *key)
     rest = [c for c in df.columns if c not in key]
     picked = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
     return picked.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])

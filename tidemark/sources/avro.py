@@ -12,6 +12,7 @@ from tidemark.functions.names import column_safe, strip_topic_suffix
 from tidemark.functions.scalar import col_of
 from tidemark.operators.governance import is_pii_word
 from tidemark.operators.shaping import latest_per_key
+from tidemark.session import shuffle_parts
 
 # Avro primitive to table type.
 PRIMITIVES = {
@@ -190,7 +191,7 @@ def registry_latest(raw: DataFrame) -> DataFrame:
             F.col("v.schemaText").alias("schema_text"),
         )
     )
-    latest = latest_per_key(versions, ["name", "schema_group"], ["version", "schema_text"])
+    latest = latest_per_key(versions, ["name", "schema_group"], ["version", "schema_text"], parts=shuffle_parts(raw.sparkSession))
     return latest.withColumn("topic", strip_topic_suffix("name"))
 
 
