@@ -250,3 +250,30 @@ def test_defects_of_lines_without_an_order(spark, sf_dir, tmp_path):
     orders.limit(0).write.parquet(f"{tmp_path}/orders.parquet")
     found = entry.queries()["expected_defects"](spark, str(tmp_path))
     assert rows(found, "check") == [("amount_above_100k",), ("line_out_of_range",)]
+
+
+def test_exact_card_keeps_one_count_beside_a_distinct_value(spark):
+    cols = [f"c{i}_id" for i in range(3)] + [f"n{i}" for i in range(40)]
+    data = [tuple(None if (r + i) % 5 == 0 else (r * (i + 1)) % 11 - 2 for i in range(43)) for r in range(50)] * 2
+    card = K.scorecard(spark.createDataFrame(data, ", ".join(f"{c} long" for c in cols)), "wide", NOW, exact=True)
+    for line in card._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        if "Aggregate [" in line and "Aggregate [[" not in line and not line.split("Aggregate [")[1].startswith("]"):
+            assert line.count("count") <= 2, line
+    got = {(r.check, r.column, r.rule): (r.total, r.non_null, r.hits) for r in card.collect()}
+    for i, c in enumerate(cols):
+        held = [row[i] for row in data if row[i] is not None]
+        assert got["completeness", c, ""] == (100, len(held), 100 - len(held))
+        assert got["validity", c, "non_negative"] == (100, len(held), sum(v < 0 for v in held))
+        assert ("uniqueness", c, "") not in got or got["uniqueness", c, ""] == (100, len(held), len(set(held)))
+    none = K.scorecard(spark.createDataFrame([], "a_id long"), "none", NOW, exact=True)
+    assert rows(none, "check", "total", "hits", "status") == [("completeness", 0, 0, "pass"), ("uniqueness", 0, 0, "pass"), ("validity", 0, 0, "pass")]
+
+
+def test_rules_are_inferred_once_for_each_name_and_type(spark):
+    fields = [("a", "source_ip", "string"), ("b", "source_ip", "string"), ("c", None, "long"), ("d", "age", None), ("e", None, None), ("f", "x", "blob")]
+    found = R.infer_rules(spark.createDataFrame(fields, "asset string, name string, type string"))
+    assert rows(found, "asset", "name", "type", "rule") == [
+        ("a", "source_ip", "string", "ipv4_validation"), ("b", "source_ip", "string", "ipv4_validation"), ("c", None, "long", "non_negative"),
+    ]
+    plan = found._jdf.queryExecution().executedPlan().toString().upper()
+    assert "RLIKE" not in plan  # no step over the rows holds the ladder, only the result of the distinct

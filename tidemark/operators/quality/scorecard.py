@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import half_up, pct_label, three_level
@@ -10,6 +10,7 @@ from tidemark.operators.quality.checks import COLUMNS_PER_PASS, distinct_status,
 from tidemark.operators.quality.rules import RULE_LIMITS, RULES, rule_fits, schema_rules
 
 WARN_NULL, FAIL_NULL = 0.05, 0.20
+FLAG_BITS = 62  # flags that share a number
 
 
 def is_id_column(name: str, with_uuid: bool = False) -> bool:
@@ -22,13 +23,13 @@ def measure(df: DataFrame, table: str, as_of, ids: list[str], rules: list[tuple[
 
     Rows: kind, column, rule, total, non_null, hits (violations or distinct).
     Tables wider than ``COLUMNS_PER_PASS`` are aggregated slice by slice. Exact distinct counts are part of
-    the same scan: Catalyst turns them into (column, value) rows that every task combines
-    before they move, beside the one row of all other counts.
+    the same scan: every task combines (column, value) rows before they move, beside the
+    rows of all other counts.
     """
     parts = []
     for at in range(0, len(df.columns), COLUMNS_PER_PASS):
         cols = df.columns[at : at + COLUMNS_PER_PASS]
-        aggs, rows = [F.count(F.lit(1)).alias("total")], []
+        flags, distinct, rows = {}, {}, []
 
         def row(kind, col, rule, nn, hits):
             rows.append(
@@ -39,21 +40,59 @@ def measure(df: DataFrame, table: str, as_of, ids: list[str], rules: list[tuple[
             )
 
         for i, c in enumerate(cols):
-            aggs.append(F.count(c).alias(f"nn_{i}"))
+            flags[f"nn_{i}"] = F.col(c).isNotNull()
             row("completeness", c, "", F.col(f"nn_{i}"), F.col("total") - F.col(f"nn_{i}"))
             if c in ids:
-                aggs.append((F.count_distinct(c) if exact else sketch_distinct(c)).alias(f"ndv_{i}"))
+                distinct[f"ndv_{i}"] = c
                 row("uniqueness", c, "", F.col(f"nn_{i}"), F.col(f"ndv_{i}"))
             for j, rule in enumerate(r for col, r in rules if col == c):
-                aggs.append(F.count_if(RULES[rule](F.col(c), as_of)).alias(f"v_{i}_{j}"))
+                flags[f"v_{i}_{j}"] = RULES[rule](F.col(c), as_of)
                 row("validity", c, rule, F.col(f"nn_{i}"), F.col(f"v_{i}_{j}"))
-        parts.append(df.agg(*aggs).select(F.lit(table).alias("asset"), F.inline(F.array(*rows))))
+        if exact and distinct:
+            counts = _exact_counts(df, flags, distinct)
+        else:
+            aggs = [F.count_if(f).alias(n) for n, f in flags.items()] + [sketch_distinct(c).alias(n) for n, c in distinct.items()]
+            counts = df.agg(F.count(F.lit(1)).alias("total"), *aggs)
+        parts.append(counts.select(F.lit(table).alias("asset"), F.inline(F.array(*rows))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _exact_counts(df: DataFrame, flags: dict[str, Column], distinct: dict[str, str]) -> DataFrame:
+    """``total``, how often each flag is true and the distinct values of columns, as one row from one scan.
+
+    A row's flags are the bits of a few numbers, and rows are counted by these numbers as well as by each column's
+    values. So a value that a task keeps carries one count, not a buffer for every check.
+    """
+    names = list(flags)
+    blocks = [names[i : i + FLAG_BITS] for i in range(0, len(names), FLAG_BITS)]
+    masks = [
+        sum(
+            (F.when(flags[n], F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, n in enumerate(block)), F.lit(0).cast("long")
+        )
+        for block in blocks
+    ]
+    mask_cols = [f"_m{i}" for i in range(len(blocks))]
+    id_cols = [f"_{n}" for n in distinct]
+    coded = df.select(*[m.alias(n) for m, n in zip(masks, mask_cols)], *[F.col(c).alias(n) for c, n in zip(distinct.values(), id_cols)])
+    keys = mask_cols + id_cols
+    grouped = coded.groupingSets([mask_cols, *[[c] for c in id_cols]], *keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[(F.grouping(c) == 0).alias(f"in{c}") for c in (mask_cols[0], *id_cols)]
+    )
+    rows_of = F.col(f"in{mask_cols[0]}")
+
+    def counted(where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col("_n"))), F.lit(0).cast("long"))
+
+    aggs = [counted(rows_of).alias("total")]
+    for mask, block in zip(mask_cols, blocks):
+        aggs += [counted(rows_of & (F.col(mask).bitwiseAND(F.lit(1 << i)) != 0)).alias(n) for i, n in enumerate(block)]
+    aggs += [F.count_if(F.col(f"in{c}") & F.col(c).isNotNull()).alias(n) for n, c in zip(distinct, id_cols)]
+    return grouped.agg(*aggs)
+
+
 def grade_scorecard(measured: DataFrame) -> DataFrame:
     """metric value, label and status per measured check.
 
