@@ -136,12 +136,17 @@ def rules_for(name, type_name, mode: str = "token") -> Column:
 def infer_rules(fields: DataFrame, mode: str = "token") -> DataFrame:
     """Catalog job: one row per field and proposed rule, with limits.
 
-    The rule table is a CASE ladder inside the scan, so a catalog of any size is
-    one map-only pass.
+    The rule table is a CASE ladder that runs once for each distinct name and type; fields meet its
+    rules by a join, so the work on texts does not grow with the fields that repeat them.
     """
+    n, t = F.col("name"), F.col("type")
+    known = fields.select(n.alias("_name"), t.alias("_type")).distinct().withColumn("_rules", rules_for("_name", "_type", mode))
+    ruled = fields.join(known, n.eqNullSafe(F.col("_name")) & t.eqNullSafe(F.col("_type")))
     limits = F.create_map(*[x for r, (w, f) in RULE_LIMITS.items() for x in (F.lit(r), F.struct(F.lit(w).alias("warn"), F.lit(f).alias("fail")))])
     return (
-        fields.withColumn("rule", F.explode(rules_for("name", "type", mode)))
+        # outer, as Catalyst would else move the test for no rules, and with it the ladder, below the distinct
+        ruled.select(*fields.columns, F.explode_outer("_rules").alias("rule"))
+        .where(F.col("rule").isNotNull())
         .withColumn("_l", F.element_at(limits, F.col("rule")))
         .withColumns({"warn": F.col("_l.warn"), "fail": F.col("_l.fail")})
         .drop("_l")
