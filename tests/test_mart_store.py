@@ -127,3 +127,14 @@ def test_empty_facts_and_no_days(spark, path):
         mart_store.read_mart(spark, path)
     with pytest.raises(ValueError, match="days"):
         mart_store.refresh(path, none, [], AS_OF)
+
+
+def test_refresh_query_aggregates_all_facts_once(spark, sf_dir, monkeypatch):
+    from tidemark.plans import orders as plan
+    from tidemark.plans.registry import QUERIES
+
+    read = []
+    whole = plan.O.daily_base
+    monkeypatch.setattr(plan.O, "daily_base", lambda facts, *a: read.append(facts.select("order_date").distinct().count()) or whole(facts, *a))
+    QUERIES["mart_refresh"](spark, sf_dir)
+    assert len([n for n in read if n > 1]) == 1
