@@ -169,3 +169,15 @@ def test_empty_catalog_and_long_names(spark, tmp_path):
     S.update(path, *frames(spark, [(("a", "kafka_topic", long_name, None, 0), [])]))
     index = S.Index(spark, path)
     assert [r[2] for r in found(index, spark, ["qqqq", "q" * 30_000, "hots"], 3)] == ["a", "a", "a"]
+
+
+def test_pieces_are_cut_by_as_many_tasks_as_a_shuffle_has(spark, tmp_path):
+    names = [(f"a{i}", "iceberg_table", f"lake.table_{i}", "") for i in range(400)]
+    assets = spark.createDataFrame(names, "asset_id string, asset_type string, name string, description string").coalesce(1)
+    fields = spark.createDataFrame([("a1", "zip_code")], "asset_id string, name string")
+    S.build(str(tmp_path), assets, fields)
+    cut = spark.read.parquet(f"{tmp_path}/grams/g0")
+    assert len(cut.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = {(r.term, r.gram) for r in cut.where("is_key").collect()}
+    assert {t for t, _ in keys} == {r.term for r in cut.where("kind = 'token'").select("term").distinct().collect()}
+    assert len(keys) == len({t for t, _ in keys}) and all(g in t for t, g in keys)

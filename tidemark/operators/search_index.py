@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import tokens
 from tidemark.operators.mart_store import versions
 from tidemark.operators.shaping import topk
-from tidemark.session import settle
+from tidemark.session import settle, shuffle_parts
 
 ASSET = ["asset_id", "asset_type", "name"]
 #: Longest piece of a term that is indexed.
@@ -84,19 +84,26 @@ def _write(path: str, version: int, postings: DataFrame, gone: DataFrame, kept:
     sorted_rows.write.mode("overwrite").parquet(place)
     stored = spark.read.schema(postings.schema).parquet(place)
     terms = stored.where(F.col("kind").isin("token", "text", "field")).select("kind", "term").distinct()
-    cut = settle(terms.select("kind", F.explode(_pieces(F.col("term"), range(1, GRAM + 1))).alias("gram"), "term"), "grams")
-    counts = cut.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n_terms"))
-    counts.write.mode("overwrite").parquet(f"{path}/frequencies/g{version}")
-    # a word that holds a token holds its key too: the rarest of the token's longest pieces
+    # a term has some eighty pieces: by explicit numbers of tasks, as AQE sizes tasks by the few bytes that go in
+    parts = shuffle_parts(spark)
+    spread = terms.repartition(parts, "term")  # by other columns than the distinct, whose exchange would else stand in for it
+    cut = settle(spread.select("kind", F.explode(_pieces(F.col("term"), range(1, GRAM + 1))).alias("gram"), "term"), "grams")
+    counted = cut.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n_terms"))
+    counted.write.mode("overwrite").parquet(f"{path}/frequencies/g{version}")
+    counts = spark.read.schema(counted.schema).parquet(f"{path}/frequencies/g{version}")
+    # a word that holds a token holds its key too: the rarest of the token's longest pieces; only tokens have one
+    is_token = F.col("kind") == "token"
     longest = F.length("gram") == F.least(F.lit(GRAM), F.length("term"))
     key = (
-        cut.where((F.col("kind") == "token") & longest)
+        cut.where(is_token & longest)
         .join(counts, ["kind", "gram"])
         .groupBy("kind", "term")
         .agg(F.min(F.struct("n_terms", "gram"))["gram"].alias("key"))
     )
-    marked = cut.join(key, ["kind", "term"], "left").select("kind", "gram", "term", F.coalesce(F.col("gram") == F.col("key"), F.lit(False)).alias("is_key"))
-    marked.repartitionByRange("kind", "gram", "term").sortWithinPartitions("kind", "gram").write.mode("overwrite").parquet(f"{path}/grams/g{version}")
+    of_tokens = cut.where(is_token).repartition(parts, "kind", "term").join(key, ["kind", "term"], "left")
+    marked = of_tokens.select("kind", "gram", "term", F.coalesce(F.col("gram") == F.col("key"), F.lit(False)).alias("is_key"))
+    marked = cut.where(~is_token).select("kind", "gram", "term", F.lit(False).alias("is_key")).unionByName(marked)
+    marked.repartitionByRange(parts, "kind", "gram", "term").sortWithinPartitions("kind", "gram").write.mode("overwrite").parquet(f"{path}/grams/g{version}")
     gone.select("asset_id").distinct().write.mode("overwrite").parquet(f"{path}/gone/g{version}")
     live = spark.createDataFrame([(g,) for g in [*kept, version]], "generation long")
     live.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest/v{version}")
