@@ -181,3 +181,17 @@ def test_pieces_are_cut_by_as_many_tasks_as_a_shuffle_has(spark, tmp_path):
     keys = {(r.term, r.gram) for r in cut.where("is_key").collect()}
     assert {t for t, _ in keys} == {r.term for r in cut.where("kind = 'token'").select("term").distinct().collect()}
     assert len(keys) == len({t for t, _ in keys}) and all(g in t for t, g in keys)
+
+
+def test_short_needles_are_found_inside_pieces(spark, tmp_path):
+    names = ["a", "ab", "abc", "xab_y", "b.c", "q", "zz"]
+    assets = spark.createDataFrame([(f"i{n}", "iceberg_table", t, "") for n, t in enumerate(names)], "asset_id string, asset_type string, name string, description string")
+    S.build(str(tmp_path), assets, spark.createDataFrame([], "asset_id string, name string"))
+    index = S.Index(spark, str(tmp_path))
+    needles = ["a", "b", "ab", "bc", "xab", "c", "k", "zz", "zzz"]
+    asked = spark.createDataFrame([("text", n) for n in needles], "kind string, needle string")
+    stored = [r.term for r in index.postings().where("kind = 'text'").collect()]
+    want = sorted(("text", n, t) for n in needles for t in stored if n in t)
+    assert rows(index.containing(asked)) == want
+    cut = spark.read.parquet(f"{tmp_path}/grams/g0")
+    assert cut.where("length(gram) < least(3, length(term))").isEmpty()  # no piece that a longer one holds

@@ -1,7 +1,7 @@
 """A stored inverted index of the catalog: search, family search and name resolution for many typed texts at once.
 
-The index is a set of generations. Each holds ``postings`` (kind, term, asset), ``grams`` (the distinct terms by the pieces of up to
-three characters that they contain) and ``frequencies`` of those pieces. Searches go from typed words to terms through grams and from terms
+The index is a set of generations. Each holds ``postings`` (kind, term, asset), ``grams`` (the distinct terms by the pieces of
+three characters that they contain, shorter terms by themselves) and ``frequencies`` of those pieces. Searches go from typed words to terms through grams and from terms
 to assets through postings; the catalog itself is not read. "Part of a name" is found through one gram of the needle, the rarest, and
 verified by ``contains``, so no term is missed whatever the frequencies say.
 
@@ -84,18 +84,18 @@ def _write(path: str, version: int, postings: DataFrame, gone: DataFrame, kept:
     sorted_rows.write.mode("overwrite").parquet(place)
     stored = spark.read.schema(postings.schema).parquet(place)
     terms = stored.where(F.col("kind").isin("token", "text", "field")).select("kind", "term").distinct()
-    # a term has some eighty pieces: by explicit numbers of tasks, as AQE sizes tasks by the few bytes that go in
+    # a term has some twenty pieces: by explicit numbers of tasks, as AQE sizes tasks by the few bytes that go in
     parts = shuffle_parts(spark)
+    stored_pieces = F.when(F.length("term") < GRAM, F.array("term")).otherwise(_pieces(F.col("term"), [GRAM]))
     spread = terms.repartition(parts, "term")  # by other columns than the distinct, whose exchange would else stand in for it
-    cut = settle(spread.select("kind", F.explode(_pieces(F.col("term"), range(1, GRAM + 1))).alias("gram"), "term"), "grams")
+    cut = settle(spread.select("kind", F.explode(stored_pieces).alias("gram"), "term"), "grams")
     counted = cut.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n_terms"))
     counted.write.mode("overwrite").parquet(f"{path}/frequencies/g{version}")
     counts = spark.read.schema(counted.schema).parquet(f"{path}/frequencies/g{version}")
-    # a word that holds a token holds its key too: the rarest of the token's longest pieces; only tokens have one
+    # a word that holds a token holds its key too: the rarest of the token's pieces; only tokens have one
     is_token = F.col("kind") == "token"
-    longest = F.length("gram") == F.least(F.lit(GRAM), F.length("term"))
     key = (
-        cut.where(is_token & longest)
+        cut.where(is_token)
         .join(counts, ["kind", "gram"])
         .groupBy("kind", "term")
         .agg(F.min(F.struct("n_terms", "gram"))["gram"].alias("key"))
@@ -176,13 +176,15 @@ class Index:
 
     def containing(self, needles: DataFrame) -> DataFrame:
         """(kind, needle, term): the terms of a kind that contain a needle, for distinct (kind, needle) rows."""
-        width = F.least(F.lit(GRAM), F.length("needle"))
-        all_cuts = [F.when(width == n, _pieces(F.col("needle"), [n])) for n in range(1, GRAM + 1)]
-        cut = needles.where(F.col("needle") != "").select("kind", "needle", F.explode(F.coalesce(*all_cuts)).alias("gram"))
+        asked = needles.where(F.col("needle") != "").select("kind", "needle")
+        cut = asked.where(F.length("needle") >= GRAM).select("kind", "needle", F.explode(_pieces(F.col("needle"), [GRAM])).alias("gram"))
         counts = self._table("frequencies").groupBy("kind", "gram").agg(F.sum("n_terms").alias("n_terms"))
         # a piece that no term has is the rarest of all: nothing is found
         ranked = cut.join(counts, ["kind", "gram"], "left").groupBy("kind", "needle")
         chosen = ranked.agg(F.min(F.struct(F.coalesce("n_terms", F.lit(0)), F.col("gram")))["gram"].alias("gram"))
+        # a shorter needle stands inside pieces
+        inside = counts.select("kind", "gram", F.explode(_pieces(F.col("gram"), range(1, GRAM))).alias("needle"))
+        chosen = chosen.unionByName(asked.where(F.length("needle") < GRAM).join(inside, ["kind", "needle"]).select("kind", "needle", "gram"))
         met = self._table("grams").select("kind", "gram", "term").join(chosen, ["kind", "gram"])
         return met.where(F.col("term").contains(F.col("needle"))).select("kind", "needle", "term").distinct()
 
