@@ -387,6 +387,28 @@ def test_lattice_scores_against_plain_python(spark, odd, docs):
     assert lattice_lm.score(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_rows_of_blocks_are_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(lattice_lm, "WORDS_ROW", 7)
+    monkeypatch.setattr(lattice_lm, "PACKED_ROWS", 50)
+    monkeypatch.setattr(lattice_lm, "SEND_BYTES", 200)
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(i)) for i in range(60)] + [None, "", "  "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(2)
+    held = lattice_lm.blocks(df).collect()
+    in_docs, in_words = [r for r in held if r.n_words is not None], [r for r in held if r.n_words is None]
+    assert len(in_docs) == len(texts)  # a row each, not one for a block
+    assert max(len(r.words) for r in in_words) == 7 and len(in_words) > 20
+    words = {(r.block, r.at + k): w for r in in_words for k, w in enumerate(r.words)}
+    for r in in_docs:
+        want = Counter((texts[r.doc_id] or "").split())
+        assert {words[r.block, k]: n for k, n in zip(r.word, r.times, strict=True)} == want and r.n_words == want.total()
+    small = {r.doc_id: r for r in lattice_lm.score(df).collect()}
+    monkeypatch.undo()
+    whole = {r.doc_id: r for r in lattice_lm.score(df).collect()}
+    assert len(small) == len(whole) == len(texts)
+    for i, r in whole.items():
+        assert tuple(small[i])[:5] == tuple(r)[:5] and small[i].score == pytest.approx(r.score) and small[i].base_score == pytest.approx(r.base_score)
+
+
 def test_url_rules_and_model(spark):
     urls = [
         (1, "https://a.Example.com/en/x?q"), (2, "http://www.example.com/en/x#y"), (3, "http://example.com"), (4, "http://example.com/de/"),

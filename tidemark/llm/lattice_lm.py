@@ -9,11 +9,16 @@ Documents are taken apart in blocks of bounded size: a block keeps each of its w
 document as (word, times). Only (block, word) rows are shuffled to count words over the corpus, so a word
 that is in every document moves once a block; counts and lattice scores go back to the blocks packed, one
 row for each task and block. Nothing about the size of the corpus's vocabulary is assumed.
+
+A stored row holds one document or a run of a block's words, never a whole block: readers, writers and sorts hold
+rows by their number, so rows of megabytes would make memory grow with the size of files. A block is put together
+only where its documents meet their scores, one block at a time.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -33,36 +38,46 @@ from .subwords import piece_model, slices, vocabulary_path
 VOCABULARY = "piece_bpe_32k.model"
 HELD_OUT = (7, 2)  # documents whose crc32 modulo the first is the second are not learnt from
 BLOCK_CHARS = 4 << 20
+#: Words of a block that share a stored row.
+WORDS_ROW = 1024
 #: What goes back to a block for each of its words, and how many of them a task holds before it sends them.
 ENTRY = np.dtype([("at", "<i4"), ("c", "<i8"), ("lattice", "<f8")])
 PACKED_ROWS = 2_000_000
+#: Bytes that a task sends at once of what it holds.
+SEND_BYTES = 4 << 20
 #: Pseudo-counts that the prior from the vocabulary's scores adds, per piece.
 PRIOR_WEIGHT = 1.0
 #: Shift of the rank in the prior 1 / (rank + shift).
 PRIOR_SHIFT = 2.7
 
 _BLOCK = (
-    "block bigint, ids array<{id}>, held_out array<boolean>, n_words array<bigint>, "
-    "words array<string>, train array<bigint>, first array<int>, word array<int>, times array<int>"
+    "block bigint, doc_id {id}, held_out boolean, n_words bigint, word array<int>, times array<int>, "
+    "at int, words array<string>, train array<bigint>"
 )
 
 
 def blocks(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per block of documents: its words, their training counts, and each document as (word, times)."""
+    """Blocks of documents as two kinds of rows: a document as (word, times), and ``words`` of its block from place ``at`` on with their training counts.
+
+    Columns of the other kind are null; n_words is null for rows of words only.
+    """
     rows = docs.select(
         "doc_id",
         F.col("text").cast("string").alias("text"),
         F.coalesce(crc_share(F.col("doc_id"), held_out[0]) == held_out[1], F.lit(False)).alias("held_out"),
     )
+    schema = _BLOCK.format(id=rows.schema["doc_id"].dataType.simpleString())
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            out = batch.column(2).to_pylist()
+            ids, out = batch.column(0), batch.column(2).to_pylist()
             for a, b, texts in slices(batch.column(1), chars):
                 place: dict[bytes, int] = {}
-                train: list[int] = []
-                first, word, times, n_words = [0], [], [], []
+                train = array("q")
+                word, times = array("i"), array("i")
+                first, n_words = [0], []
                 for i, text in enumerate(texts, a):
                     found = Counter(text.encode().lower().split())
                     for w, n in found.items():
@@ -75,18 +90,31 @@ def blocks(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, chars: int = B
                         times.append(n)
                     n_words.append(found.total())
                     first.append(len(word))
-                row = [number, batch.column(0).slice(a, b - a).to_pylist(), out[a:b], n_words, [w.decode() for w in place], train, first, word, times]
+                size = b - a
+                of_docs = [
+                    pa.array([number] * size, pa.int64()), ids.slice(a, size), pa.array(out[a:b], pa.bool_()), pa.array(n_words, pa.int64()),
+                    _lists(first, word, pa.int32()), _lists(first, times, pa.int32()),
+                    pa.nulls(size, pa.int32()), pa.nulls(size, pa.list_(pa.string())), pa.nulls(size, pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(of_docs, names)
+                at = range(0, len(place), WORDS_ROW)
+                if at:
+                    ends, size = [*at, len(place)], len(at)
+                    of_words = [
+                        pa.array([number] * size, pa.int64()), pa.nulls(size, ids.type), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.int64()),
+                        pa.nulls(size, pa.list_(pa.int32())), pa.nulls(size, pa.list_(pa.int32())), pa.array(at, pa.int32()),
+                        _lists(ends, [w.decode() for w in place], pa.string()), _lists(ends, train, pa.int64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(of_words, names)
                 number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
-    id_type = rows.schema["doc_id"].dataType
-    schema = _BLOCK.format(id=id_type.simpleString())
-    names = [part.split()[0] for part in schema.split(", ")]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
-    kinds = [pa.int64()] + [pa.list_(arrow[part.split("<")[1].rstrip(">")]) for part in schema.split(", ")[1:]]
     return rows.mapInArrow(run, schema)
 
 
+def _lists(ends: list[int], values, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
 def vocabulary_pieces(path: str) -> tuple[list[bytes | None], list[float]]:
     """The bytes of each piece (None for control pieces) and its prior probability."""
     model = piece_model(path)
@@ -111,9 +139,8 @@ def counted_words(held: DataFrame) -> DataFrame:
 
     One shuffle by word; a group has a row for each block that holds the word.
     """
-    listed = held.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select(
-        "block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("train")
-    )
+    runs = held.where(F.col("words").isNotNull()).select("block", "at", F.posexplode(F.arrays_zip("words", "train")).alias("k", "w"))
+    listed = runs.select("block", (F.col("at") + F.col("k")).alias("at"), F.col("w.words").alias("word"), F.col("w.train").alias("train"))
     whole = Window.partitionBy("word")
     first = F.struct("block", "at")
     return listed.withColumns({"c": F.sum("train").over(whole), "first": F.min(first).over(whole)}).select(
@@ -164,18 +191,31 @@ def block_scores(counted: DataFrame, log_p: dict[bytes, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        held: list[np.ndarray] = []
+        held = np.empty(PACKED_ROWS, [("block", "<i8"), *ENTRY.descr])
         rows, last, lattice = 0, None, 0.0
 
-        def flush() -> pa.RecordBatch:
-            joined = np.concatenate(held)
-            joined = joined[np.argsort(joined["block"], kind="stable")]
-            blocks, first = np.unique(joined["block"], return_index=True)
-            packed = [part[["at", "c", "lattice"]].astype(ENTRY).tobytes() for part in np.split(joined, first[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(packed, pa.binary())], ["block", "packed"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Block by block from what is held, which is neither copied nor sent as a whole."""
+            of = held["block"][:rows]
+            order = np.argsort(of, kind="stable")
+            ends = [*(np.flatnonzero(np.diff(of[order])) + 1).tolist(), rows]
+            blocks, packed, size, begin = [], [], 0, 0
+            for end in ends:
+                part = held[order[begin:end]]
+                blocks.append(int(part["block"][0]))
+                packed.append(part[list(ENTRY.names)].astype(ENTRY).tobytes())
+                size, begin = size + len(packed[-1]), end
+                if size >= SEND_BYTES or end == rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(packed, pa.binary())], ["block", "packed"])
+                    blocks, packed, size = [], [], 0
 
         for batch in batches:
-            part = np.empty(batch.num_rows, [("block", "<i8"), *ENTRY.descr])
+            if rows and rows + batch.num_rows > len(held):
+                yield from flush()
+                rows = 0
+            if batch.num_rows > len(held):
+                held = np.empty(batch.num_rows, held.dtype)
+            part = held[rows : rows + batch.num_rows]
             for i, name in enumerate(("block", "at", "c"), 1):
                 part[name] = np.asarray(batch.column(i))
             scores = []
@@ -184,13 +224,9 @@ def block_scores(counted: DataFrame, log_p: dict[bytes, float]) -> DataFrame:
                     last, lattice = w, forward(b" " + w.encode(), table, longest) / math.log(10)
                 scores.append(lattice)
             part["lattice"] = scores
-            held.append(part)
             rows += len(part)
-            if rows >= PACKED_ROWS:
-                yield flush()
-                held, rows = [], 0
         if rows:
-            yield flush()
+            yield from flush()
 
     return counted.select("word", "block", "at", "c").mapInArrow(run, "block bigint, packed binary")
 
@@ -209,7 +245,8 @@ def score(docs: DataFrame, vocabulary: str | None = None, held_out: tuple[int, i
     counted = settle(counted_words(held), "lm-words")
     vocab = counted.where("lead and c > 0")
     totals = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = held.select(F.explode("held_out").alias("out")).agg(F.count_if(~F.col("out"))).first()[0]
+    in_blocks = held.where(F.col("n_words").isNotNull()).select("block", "doc_id", "held_out", "n_words", "word", "times")
+    ends = in_blocks.agg(F.count_if(~F.col("held_out"))).first()[0]
     n, v = totals["n"] + ends, totals["v"] + (ends > 0)
 
     texts, prior = vocabulary_pieces(path)
@@ -225,34 +262,38 @@ def score(docs: DataFrame, vocabulary: str | None = None, held_out: tuple[int, i
         if text is not None and w > 0:  # a byte and a letter may be the same text
             log_p[text] = float(np.logaddexp(log_p.get(text, -np.inf), np.log(w)))
     end_lattice = float(np.log10(weights[-1]))
-    packed = block_scores(counted, log_p).groupBy("block").agg(F.collect_list("packed").alias("scores"))
-    rows = held.drop("words", "train").join(packed, "block", "left")
+    packed = block_scores(counted, log_p)
     base_all = math.log10(n + v + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            get = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            for i in range(batch.num_rows):
-                of = {name: get[name][i].values for name in ("ids", "held_out", "n_words", "first", "word", "times")}
-                size = len(of["ids"])
-                first, word, times = (np.asarray(of[k]) for k in ("first", "word", "times"))
-                doc = np.repeat(np.arange(size), np.diff(first))
-                found = np.frombuffer(b"".join(get["scores"][i].as_py() or []), ENTRY)
-                found = found[np.argsort(found["at"])][word]
-                c, lattice = found["c"], found["lattice"]
-                base = np.bincount(doc, (np.log10(c + 1.0) - base_all) * times, size) + math.log10(ends + 1) - base_all
-                total = np.bincount(doc, lattice * times, size) + end_lattice
-                known = np.bincount(doc, (c > 0) * times, size).astype(np.int64) + (ends > 0)
-                tokens = np.asarray(of["n_words"]) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [of["ids"], of["held_out"], pa.array(tokens), pa.array(known), pa.array(np.full(size, n, np.int64)), pa.array(base), pa.array(total)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+    def run(rows: pa.Table, scores: pa.Table) -> pa.Table:
+        """The documents of one block; a block without words has no scores."""
+        size = rows.num_rows
+        lists = rows.column("word").combine_chunks()
+        doc = np.repeat(np.arange(size), np.diff(np.asarray(lists.offsets)))
+        word = np.asarray(lists.flatten())
+        times = np.asarray(rows.column("times").combine_chunks().flatten())
+        found = np.frombuffer(b"".join(scores.column("packed").to_pylist()), ENTRY)
+        found = found[np.argsort(found["at"])][word]
+        c, lattice = found["c"], found["lattice"]
+        base = np.bincount(doc, (np.log10(c + 1.0) - base_all) * times, size) + math.log10(ends + 1) - base_all
+        total = np.bincount(doc, lattice * times, size) + end_lattice
+        known = np.bincount(doc, (c > 0) * times, size).astype(np.int64) + (ends > 0)
+        tokens = np.asarray(rows.column("n_words")) + 1
+        return pa.table(
+            {
+                "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": tokens, "n_known": known,
+                "train_tokens": np.full(size, n, np.int64), "base_score": base, "score": total,
+            }
+        )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        run,
-        f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    return (
+        in_blocks.groupBy("block")
+        .cogroup(packed.groupBy("block"))
+        .applyInArrow(
+            run,
+            f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        )
     )
 
 
