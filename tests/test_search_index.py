@@ -195,3 +195,33 @@ def test_short_needles_are_found_inside_pieces(spark, tmp_path):
     assert rows(index.containing(asked)) == want
     cut = spark.read.parquet(f"{tmp_path}/grams/g0")
     assert cut.where("length(gram) < least(3, length(term))").isEmpty()  # no piece that a longer one holds
+
+
+def test_only_the_first_of_assets_that_hit_alike_are_scored(spark, tmp_path):
+    assets = [(f"a{i:03}", "iceberg_table", f"red lamp {i:03}", "d", None) for i in range(200)]
+    made = [(a, ["hot spring", "email"]) for a in assets]
+    # repeats of assets and fields, and two assets without a name, which no text finds
+    made += made[:20] + [((f"n{i}", "iceberg_table", None, "d", None), ["red", "lamp"]) for i in range(2)]
+    path = str(tmp_path / "alike")
+    S.build(path, *frames(spark, made))
+    index = S.Index(spark, path)
+    stored = index.postings()
+    assert stored.count() == stored.distinct().count()
+    hits = index.word_hits(spark.createDataFrame([("red",), ("lamp",), ("email",)], "word string"))
+    assert hits.where("name is not null").count() == 600
+    assert rows(index._leading(hits, 3).select("asset_id").distinct()) == [("a000",), ("a001",), ("a002",)]
+    got = index.search(asked(spark, ["red lamp"]), 3).select("rank", "asset_id", "score")
+    assert rows(got) == [(1, "a000", 6), (2, "a001", 6), (3, "a002", 6)]
+
+
+def test_terms_are_met_before_replaced_ids(spark, tmp_path):
+    first, second = catalog(200, 5), catalog(100, 6)
+    path = str(tmp_path / "steps")
+    S.build(path, *frames(spark, first))
+    S.update(path, *frames(spark, second))
+    index = S.Index(spark, path)
+    terms = index.postings().select("kind", "term").distinct().where("kind = 'token'").orderBy("term").limit(7).withColumn("more", F.lit(1))
+    want = index.postings().join(terms, ["kind", "term"])
+    got = index.postings(terms)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got, *want.columns) == rows(want) != []

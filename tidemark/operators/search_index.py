@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import tokens
 from tidemark.operators.mart_store import versions
 from tidemark.operators.shaping import topk
-from tidemark.session import settle, shuffle_parts
+from tidemark.session import settle, shuffle_parts, shuffles_dropped
 
 ASSET = ["asset_id", "asset_type", "name"]
 #: Longest piece of a term that is indexed.
@@ -53,10 +53,11 @@ def _pieces(term: Column, lengths) -> Column:
 
 
 def postings_of(assets: DataFrame, fields: DataFrame) -> DataFrame:
-    """Distinct (kind, term, asset) rows: ``name`` as it is, ``token`` and ``field_token`` words, ``text`` the lower-case name
-    and description, ``field`` lower-case field names."""
+    """(kind, term, asset) rows: ``name`` as it is, ``token`` and ``field_token`` words, ``text`` the lower-case name
+    and description, ``field`` lower-case field names. Repeats of assets are left; they go where the rows are dealt to files."""
     own = assets.select(*ASSET, "description")
-    named = fields.select("asset_id", F.col("name").alias("_field")).distinct()
+    # an asset's field names meet it as one row
+    named = fields.groupBy("asset_id").agg(F.collect_set("name").alias("_fields"))
     with_field = own.select(*ASSET).distinct().join(named, "asset_id")
 
     def rows(df: DataFrame, kind: str, terms: Column) -> DataFrame:
@@ -66,22 +67,22 @@ def postings_of(assets: DataFrame, fields: DataFrame) -> DataFrame:
         rows(own, "name", F.array("name")),
         rows(own, "token", tokens("name")),
         rows(own, "text", F.array(F.lower(F.concat_ws(" ", "name", "description")))),
-        rows(with_field, "field_token", tokens("_field")),
-        rows(with_field, "field", F.array(F.lower("_field"))),
+        rows(with_field, "field_token", F.array_distinct(F.flatten(F.transform("_fields", tokens)))),
+        rows(with_field, "field", F.array_distinct(F.transform("_fields", F.lower))),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where(F.col("term") != "").distinct()
+    return out.where(F.col("term") != "")
 
 
 def _write(path: str, version: int, postings: DataFrame, gone: DataFrame, kept: list[int]) -> int:
     """A generation, then the manifest of the generations in use, which is all that readers look for."""
     spark = postings.sparkSession
     place = f"{path}/postings/g{version}"
-    # a term in a third of all assets is dealt over several files
-    sorted_rows = postings.repartitionByRange("kind", "term", "asset_id").sortWithinPartitions("kind", "term", "asset_id")
-    sorted_rows.write.mode("overwrite").parquet(place)
+    # a term in a third of all assets is dealt over several files; repeats meet there, so no shuffle is for them alone
+    sorted_rows = postings.repartitionByRange("kind", "term", "asset_id").distinct().sortWithinPartitions("kind", "term", "asset_id")
+    _store(sorted_rows, place)
     stored = spark.read.schema(postings.schema).parquet(place)
     terms = stored.where(F.col("kind").isin("token", "text", "field")).select("kind", "term").distinct()
     # a term has some twenty pieces: by explicit numbers of tasks, as AQE sizes tasks by the few bytes that go in
@@ -90,7 +91,7 @@ def _write(path: str, version: int, postings: DataFrame, gone: DataFrame, kept:
     spread = terms.repartition(parts, "term")  # by other columns than the distinct, whose exchange would else stand in for it
     cut = settle(spread.select("kind", F.explode(stored_pieces).alias("gram"), "term"), "grams")
     counted = cut.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n_terms"))
-    counted.write.mode("overwrite").parquet(f"{path}/frequencies/g{version}")
+    _store(counted, f"{path}/frequencies/g{version}")
     counts = spark.read.schema(counted.schema).parquet(f"{path}/frequencies/g{version}")
     # a word that holds a token holds its key too: the rarest of the token's pieces; only tokens have one
     is_token = F.col("kind") == "token"
@@ -103,13 +104,19 @@ def _write(path: str, version: int, postings: DataFrame, gone: DataFrame, kept:
     of_tokens = cut.where(is_token).repartition(parts, "kind", "term").join(key, ["kind", "term"], "left")
     marked = of_tokens.select("kind", "gram", "term", F.coalesce(F.col("gram") == F.col("key"), F.lit(False)).alias("is_key"))
     marked = cut.where(~is_token).select("kind", "gram", "term", F.lit(False).alias("is_key")).unionByName(marked)
-    marked.repartitionByRange(parts, "kind", "gram", "term").sortWithinPartitions("kind", "gram").write.mode("overwrite").parquet(f"{path}/grams/g{version}")
-    gone.select("asset_id").distinct().write.mode("overwrite").parquet(f"{path}/gone/g{version}")
+    _store(marked.repartitionByRange(parts, "kind", "gram", "term").sortWithinPartitions("kind", "gram"), f"{path}/grams/g{version}")
+    _store(gone.select("asset_id").distinct(), f"{path}/gone/g{version}")
     live = spark.createDataFrame([(g,) for g in [*kept, version]], "generation long")
     live.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest/v{version}")
     return version
 
 
+def _store(df: DataFrame, place: str) -> None:
+    """Write a table of a generation, compressed well as it is written once and sorted, without leaving shuffle files."""
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(place)
+
+
 def build(path: str, assets: DataFrame, fields: DataFrame) -> int:
     """Index all assets and fields at ``path`` and return the version."""
     version = (versions(assets.sparkSession, path) or [-1])[-1] + 1
@@ -158,21 +165,31 @@ class Index:
     def _table(self, kind: str) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/{kind}/g{g}" for g in self.live])
 
-    def postings(self) -> DataFrame:
-        """Postings that no later generation replaces."""
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """Postings that no later generation replaces; those of ``terms`` (kind, term, ...) only, beside their other columns.
+
+        Terms are met first, so only what they find is compared with the replaced ids.
+        """
+
+        def met(rows: DataFrame) -> DataFrame:
+            return rows if terms is None else rows.join(terms, ["kind", "term"])
+
         if len(self.live) == 1:
-            return self._table("postings")
+            return met(self._table("postings"))
 
-        def marked(kind: str, label: str) -> DataFrame:
-            parts = [self.spark.read.parquet(f"{self.path}/{kind}/g{g}").withColumn(label, F.lit(g)) for g in self.live]
+        def marked(kind: str, label: str, live: list[int]) -> DataFrame:
+            parts = [self.spark.read.parquet(f"{self.path}/{kind}/g{g}").withColumn(label, F.lit(g)) for g in live]
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
             return out
 
-        last = marked("gone", "_g").groupBy("asset_id").agg(F.max("_g").alias("_gone"))
-        rows = marked("postings", "_own").join(last, "asset_id", "left")
-        return rows.where(F.col("_gone").isNull() | (F.col("_own") >= F.col("_gone"))).select("kind", "term", *ASSET)
+        # nothing replaces what the newest generation holds
+        newest = met(self.spark.read.parquet(f"{self.path}/postings/g{self.live[-1]}"))
+        last = marked("gone", "_g", self.live).groupBy("asset_id").agg(F.max("_g").alias("_gone"))
+        rows = met(marked("postings", "_own", self.live[:-1])).join(last, "asset_id", "left")
+        kept = rows.where(F.col("_gone").isNull() | (F.col("_own") >= F.col("_gone")))
+        return kept.select(newest.columns).unionByName(newest)
 
     def containing(self, needles: DataFrame) -> DataFrame:
         """(kind, needle, term): the terms of a kind that contain a needle, for distinct (kind, needle) rows."""
@@ -203,20 +220,29 @@ class Index:
         terms = parts.select("needle", F.lit("token").alias("kind"), "term", points.alias("points")).unionByName(
             needles.select("needle", F.lit("field_token").alias("kind"), F.col("needle").alias("term"), F.lit(IN_FIELD).alias("points"))
         )
-        found = self.postings().where(F.col("kind").isin("token", "field_token")).join(terms, ["kind", "term"])
+        # dealt by asset, as the hits of an asset may be gathered next
+        found = self.postings(terms).where(F.col("kind").isin("token", "field_token")).repartition("asset_id")
         return found.groupBy(F.col("needle").alias("word"), "asset_id", "name").agg(F.max("points").alias("points"))
 
+    def _leading(self, hits: DataFrame, k: int) -> DataFrame:
+        """The hits of the ``k`` first assets, by name and id, of those that the same words hit with the same points; assets without a name or id go."""
+        hits = hits.where(F.col("asset_id").isNotNull() & F.col("name").isNotNull())  # scores find assets by both
+        alike = F.array_sort(F.collect_list(F.struct("word", "points"))).alias("alike")
+        first = topk(hits.groupBy("asset_id", "name").agg(alike), ["alike"], [F.col("name"), F.col("asset_id")], k)
+        return first.select("asset_id", "name", F.inline("alike")).select("word", "asset_id", "name", "points")
+
     def search(self, queries: DataFrame, k: int = 8, text: str = "query") -> DataFrame:
         """The k best assets of every distinct text: ``text``, rank, asset_id, name, score.
 
         Scores and ties are those of :func:`catalog.keyword_rank`; a text without words finds nothing.
         Exact, but words in many assets are not joined for every query: candidates of a query's rarest word give a k-th score that
         the answer must reach, and words which together stay below it cannot bring in an asset, so they only add to the
-        scores of assets that other words found.
+        scores of assets that other words found. Assets that the same words hit with the same points score alike in every text, so of
+        those only the k first by name and id can be in an answer, and only they go on.
         """
         asked = queries.select(F.col(text).alias("_q")).where(F.col("_q").isNotNull()).distinct()
         typed = settle(asked.select("_q", F.explode(F.array_distinct(tokens("_q"))).alias("word")), "typed")
-        hits = settle(self.word_hits(typed.select("word").distinct()), "word-hits")
+        hits = settle(self._leading(self.word_hits(typed.select("word").distinct()), k), "word-hits")
         weight = hits.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max("points").alias("best"))
         by_query = Window.partitionBy("_q")  # the words of one typed text
         asked_words = typed.join(weight, "word").withColumn("nth", F.row_number().over(by_query.orderBy("n", "word")))
@@ -258,7 +284,7 @@ class Index:
             sought = sought.unionByName(n)
         terms = sought.join(self.containing(sought.select("kind", "needle").distinct()), ["kind", "needle"])
         terms = terms.select("keyword", "kind", "term", "why").distinct()
-        found = self.postings().where(F.col("kind").isin("text", "field")).join(terms, ["kind", "term"])
+        found = self.postings(terms).where(F.col("kind").isin("text", "field"))
         found = found.where((F.col("why") != "family") | F.col("asset_type").isin(*types))
 
         def any_of(why: str) -> Column:
@@ -290,7 +316,7 @@ class Index:
         def first(kind: str) -> Column:
             return F.min(F.when(F.col("asset_type") == kind, F.col("asset_id")))
 
-        exact = self.postings().where(F.col("kind") == "name").join(typed, F.col("term") == F.col("_typed"))
+        exact = self.postings(typed.select(F.lit("name").alias("kind"), F.col("_typed").alias("term"), "_typed"))
         exact = exact.groupBy("_typed").agg(first("iceberg_table").alias("_table"), first("kafka_topic").alias("_topic"))
         known = settle(typed.join(exact, "_typed", "left"), "resolved")
         rest = known.where(F.coalesce("_table", "_topic").isNull()).select("_typed")
